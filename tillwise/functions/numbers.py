@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DataType, DoubleType, FloatType, NumericType, StringType
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType, StringType
 
 from tillwise.fixed_values import CURRENCY_MARKS, NUMBER_PATTERN
-from tillwise.functions.text import strip
+from tillwise.functions.text import col, strip
 
 
-def parse_number(value: Column, kind: DataType) -> Column:
-    """A double from a raw cell; null when the cell is no finite decimal number.
+def add_numbers(frame: DataFrame, cells: dict[str, str]) -> DataFrame:
+    """Add double columns (name -> raw column); null when the cell is no finite decimal number.
 
     ``$ 1,234.5`` is accepted. The pattern guard is needed because a Spark cast also takes
-    Java spellings such as ``1.5d``.
+    Java spellings such as ``1.5d``. The work is split into projections, so that a text that
+    is used several times is made once per row.
     """
-    if isinstance(kind, (FloatType, DoubleType)):
-        number = value.cast("double")
-    elif isinstance(kind, NumericType):
-        return value.cast("double")
-    elif isinstance(kind, StringType):
-        text = strip(F.translate(strip(value), CURRENCY_MARKS, ""))
-        number = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
-    else:
-        return F.lit(None).cast("double")
-    return F.when(F.abs(number) < float("inf"), number)
+    kinds = {name: frame.schema[raw].dataType for name, raw in cells.items()}
+    texts = [name for name, kind in kinds.items() if isinstance(kind, StringType)]
+    step = {name: f"text for {name}" for name in texts}
+    names = frame.columns
+    frame = frame.withColumns({step[name]: strip(col(cells[name])) for name in texts})
+    frame = frame.withColumns({step[name]: F.translate(col(step[name]), CURRENCY_MARKS, "") for name in texts})
+    frame = frame.withColumns({step[name]: strip(col(step[name])) for name in texts})
+    numbers = {}
+    for name, raw in cells.items():
+        if name in texts:
+            text = col(step[name])
+            numbers[name] = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+        elif isinstance(kinds[name], NumericType):
+            numbers[name] = col(raw).cast("double")
+        else:
+            numbers[name] = F.lit(None).cast("double")
+    frame = frame.withColumns(numbers)
+    finite = {name: F.when(F.abs(col(name)) < float("inf"), col(name)) for name in cells}
+    return frame.withColumns(finite).select(*[col(name) for name in [*names, *cells]])
 
 
 def is_plain_number(value: Column) -> Column:

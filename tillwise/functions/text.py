@@ -30,9 +30,8 @@ def blank_to_null(value: Column) -> Column:
     return F.when(stripped != "", stripped)
 
 
-def known_id(value: Column) -> Column:
-    """The trimmed id, or null when it is missing or some spelling of 'unknown'."""
-    stripped = strip(value.cast("string"))
+def known(stripped: Column) -> Column:
+    """A trimmed id, or null when it is missing or some spelling of 'unknown'."""
     unknown = (F.length(stripped) == len(UNKNOWN)) & (F.lower(stripped) == UNKNOWN.lower())
     return F.when(~unknown, stripped)
 

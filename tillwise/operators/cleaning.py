@@ -23,7 +23,7 @@ from tillwise.fixed_values import (
     UNKNOWN,
     UNSIGNED_COLUMNS,
 )
-from tillwise.functions.numbers import is_plain_number, parse_number
+from tillwise.functions.numbers import add_numbers, is_plain_number
 from tillwise.functions.periods import parse_date
 from tillwise.functions.text import blank_to_null, col
 from tillwise.operators.medians import bounds_columns, exact_medians
@@ -31,6 +31,7 @@ from tillwise.operators.profile import build_column_report, group_copies, nan_to
 from tillwise.sources.staging import stage
 
 COPIES = "copies of row"
+PARSED, RAW, HAS_DATE_TEXT = "parsed ", "raw ", "has date text"
 SUMMARY_TYPE = (
     "rows_before long, rows_after long, columns long, duplicate_rows_removed long, invalid_dates_found long, "
     "missing_values_before long, missing_values_after long, quality_score_before double, "
@@ -80,39 +81,31 @@ def clean_sales_data(
 
     ``approximate`` replaces the exact distinct counts of the column report by sketches.
     """
+    formats = tuple(date_formats)
     renamed = nan_to_null(standardize_column_names(raw))
-    staged = stage(group_copies(renamed, COPIES), "distinct")
-    first = staged.agg(*_raw_counters(renamed)).first()
+    names = renamed.columns
+    staged = _stage_parsed(group_copies(renamed, COPIES), formats, "distinct")
+    rows = _typed_rows(staged, names)
+    first = counters = rows.agg(*_raw_counters(renamed), *_clean_counters(rows, names)).first()
     if not first["rows"]:
         raise ValueError(EMPTY_INPUT)
-    nulls_before = sum(first[f"nulls {i}"] for i in range(len(renamed.columns)))
+    nulls_before = sum(first[f"nulls {place}"] for place in range(len(names)))
 
     # A column of plain numbers is compared by value: 1 and 1.0 are the same cell.
-    typed = [name for name in _text_numbers(renamed) if first[f"plain {name}"] and first[f"variants {name}"]]
-    distinct = staged
-    if typed:
-        distinct = stage(
-            staged.withColumns({name: parse_number(col(name), StringType()) for name in typed})
-            .groupBy(*[col(name) for name in renamed.columns])
-            .agg(F.sum(COPIES).alias(COPIES)),
-            "distinct-typed",
-        )
-
-    cells = _parsed_cells(distinct, tuple(date_formats))
-    parsed = distinct.select(*[cell.alias(name) for name, cell in cells.items()], *_date_texts(distinct))
-    kept = F.col("Date").isNotNull() if "Date" in cells else F.lit(True)
-    signed = {name: F.when(kept, col(name)) for name in NUMERIC_COLUMNS if name in cells}
-    numbers = {name: F.abs(value) if name in UNSIGNED_COLUMNS else value for name, value in signed.items()}
-    derived = {"Revenue", "Cost", "Profit"} <= set(cells)
-    by_median = {name: value for name, value in numbers.items() if not (derived and name == "Profit")}
-
-    counters = parsed.agg(*_clean_counters(parsed, kept, signed), *bounds_columns(by_median)).first()
-    bounds = {name: tuple(counters[f"bounds of {name}"]) for name in by_median}
-    gaps = {name: value for name, value in by_median.items() if counters[f"missing {name}"]}
-    medians = exact_medians(parsed, gaps, {name: bounds[name] for name in gaps})
+    plain = [name for name in _text_numbers(renamed) if first[f"plain {name}"] and first[f"variants {name}"]]
+    if plain:
+        by_value = staged.withColumns({name: col(PARSED + name) for name in plain})
+        by_value = by_value.groupBy(*[col(name) for name in names]).agg(F.sum(COPIES).alias(COPIES))
+        rows = _typed_rows(_stage_parsed(by_value, formats, "distinct-by-value"), names)
+        counters = rows.agg(*_clean_counters(rows, names)).first()
+
+    derived = {"Revenue", "Cost", "Profit"} <= set(names)
+    values = _median_values(names)
+    gaps = {name: value for name, value in values.items() if counters[f"missing {name}"]}
+    medians = exact_medians(rows, gaps, {name: tuple(counters[f"bounds of {name}"]) for name in gaps})
     fills = {name: 0.0 if median is None else float(median) for name, median in medians.items()}
 
-    cleaned = _cleaned_rows(parsed.where(kept), list(cells), fills, derived)
+    cleaned = _cleaned_rows(rows.where(_kept(names)), names, fills, derived)
     spark = raw.sparkSession
     duplicates = first["rows"] - counters["distinct"]
     summary = _summary(first, counters, nulls_before, duplicates, cleaned)
@@ -120,7 +113,9 @@ def clean_sales_data(
     return CleanResult(
         cleaned=cleaned,
         summary=spark.createDataFrame([summary], SUMMARY_TYPE),
-        column_report=build_column_report(staged, cleaned, approximate, weight=COPIES),
+        column_report=build_column_report(
+            staged.select(*[col(name) for name in names], COPIES), cleaned, approximate, weight=COPIES
+        ),
         actions=spark.createDataFrame(actions, ACTION_TYPE),
     )
 
@@ -130,7 +125,7 @@ def clean_data(raw: DataFrame, date_formats: Sequence[str] = DATE_FORMATS) -> Da
     return clean_sales_data(raw, date_formats).cleaned
 
 
-# --- counters ---------------------------------------------------------------------
+# --- staged rows and counters -----------------------------------------------------
 
 
 def _text_numbers(frame: DataFrame) -> list[str]:
@@ -140,62 +135,83 @@ def _text_numbers(frame: DataFrame) -> list[str]:
     ]
 
 
-def _raw_counters(frame: DataFrame) -> list[Column]:
+def _stage_parsed(distinct: DataFrame, formats: tuple[str, ...], name: str) -> DataFrame:
+    """Write distinct rows together with their parsed dates and numbers.
+
+    Every cell is parsed once here; the passes that follow read the typed values.
+    """
+    names = distinct.columns
+    numbers = {PARSED + column: column for column in NUMERIC_COLUMNS if column in names}
+    parsed = add_numbers(distinct, numbers)
+    if "Date" in names:
+        kind = distinct.schema["Date"].dataType
+        text = blank_to_null(col("Date")) if isinstance(kind, StringType) else col("Date")
+        date = "date cell"
+        parsed = (
+            parsed.withColumn(date, text)
+            .withColumns({PARSED + "Date": parse_date(col(date), kind, formats), HAS_DATE_TEXT: col(date).isNotNull()})
+            .drop(date)
+        )
+    return stage(parsed, name)
+
+
+def _typed_rows(staged: DataFrame, names: list[str]) -> DataFrame:
+    """Staged rows with typed columns next to the raw ones: ``RAW`` + name is the cell as it came."""
+    typed = []
+    for field in staged.schema:
+        if field.name in names:
+            cell = col(field.name)
+            if PARSED + field.name in staged.columns:
+                cell = col(PARSED + field.name)
+            elif isinstance(field.dataType, StringType):
+                cell = blank_to_null(cell)
+            typed += [cell.alias(field.name), col(field.name).alias(RAW + field.name)]
+    helpers = [name for name in (COPIES, HAS_DATE_TEXT) if name in staged.columns]
+    return staged.select(*typed, *helpers)
+
+
+def _kept(names: list[str]) -> Column:
+    return F.col("Date").isNotNull() if "Date" in names else F.lit(True)
+
+
+def _median_values(names: list[str]) -> dict[str, Column]:
+    """The numbers whose gaps are filled by their median, taken from the rows that are kept."""
+    derived = {"Revenue", "Cost", "Profit"} <= set(names)
+    kept = _kept(names)
+    return {
+        name: F.when(kept, F.abs(col(name)) if name in UNSIGNED_COLUMNS else col(name))
+        for name in NUMERIC_COLUMNS
+        if name in names and not (derived and name == "Profit")
+    }
+
+
+def _raw_counters(renamed: DataFrame) -> list[Column]:
     """Counters of the rows as they came, from distinct rows and their copies."""
     copies = F.col(COPIES)
     counters = [F.coalesce(F.sum(copies), F.lit(0)).alias("rows")]
-    for place, name in enumerate(frame.columns):
-        nulls = F.sum(F.when(col(name).isNull(), copies))
+    for place, name in enumerate(renamed.columns):
+        nulls = F.sum(F.when(col(RAW + name).isNull(), copies))
         counters.append(F.coalesce(nulls, F.lit(0)).alias(f"nulls {place}"))
-    for name in _text_numbers(frame):
-        cell = col(name)
+    for name in _text_numbers(renamed):
+        cell = col(RAW + name)
         one_spelling = cell.rlike(r"^-?(0|[1-9]\d*)(\.\d*[1-9])?$")
         counters.append(F.every(cell.isNull() | is_plain_number(cell)).alias(f"plain {name}"))
         counters.append(F.some(cell.isNotNull() & ~one_spelling).alias(f"variants {name}"))
     return counters
 
 
-def _parsed_cells(frame: DataFrame, formats: tuple[str, ...]) -> dict[str, Column]:
-    """Typed expression per column: trimmed texts, dates, numbers (sign kept)."""
-    cells = {}
-    for field in frame.schema:
-        if field.name == COPIES:
-            continue
-        cell = col(field.name)
-        if isinstance(field.dataType, StringType):
-            cell = blank_to_null(cell)
-        if field.name == "Date":
-            cell = parse_date(cell, field.dataType, formats)
-        elif field.name in NUMERIC_COLUMNS:
-            cell = parse_number(cell, field.dataType)
-        cells[field.name] = cell
-    return cells
-
-
-DATE_TEXT = "has date text"
-
-
-def _date_texts(frame: DataFrame) -> list[Column]:
-    if "Date" not in frame.columns:
-        return []
-    cell = col("Date")
-    if isinstance(frame.schema["Date"].dataType, StringType):
-        cell = blank_to_null(cell)
-    return [cell.isNotNull().alias(DATE_TEXT)]
-
-
-def _clean_counters(parsed: DataFrame, kept: Column, numbers: dict[str, Column]) -> list[Column]:
-    """Counters of the distinct rows, all from one pass."""
+def _clean_counters(rows: DataFrame, names: list[str]) -> list[Column]:
+    """Counters of the distinct rows; together with the raw counters one pass."""
+    kept = _kept(names)
     counters = [F.count("*").alias("distinct"), F.count_if(kept).alias("kept")]
-    if DATE_TEXT in parsed.columns:
-        counters.append(F.count_if(F.col(DATE_TEXT) & ~kept).alias("bad dates"))
-    for name, value in numbers.items():
-        counters.append(F.count_if(value < 0).alias(f"negative {name}"))
-        counters.append(F.count_if(kept & value.isNull()).alias(f"missing {name}"))
-    for name in parsed.columns:
-        if name not in numbers and name not in ("Date", DATE_TEXT):
+    if HAS_DATE_TEXT in rows.columns:
+        counters.append(F.count_if(F.col(HAS_DATE_TEXT) & ~kept).alias("bad dates"))
+    for name in names:
+        if name in UNSIGNED_COLUMNS:
+            counters.append(F.count_if(kept & (col(name) < 0)).alias(f"negative {name}"))
+        if name != "Date":
             counters.append(F.count_if(kept & col(name).isNull()).alias(f"missing {name}"))
-    return counters
+    return counters + bounds_columns(_median_values(names))
 
 
 # --- results ----------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillwise.fixed_values import KPI_COLUMNS, KPI_DEFINITIONS, KPI_ERRORS, KPI_UNITS
 from tillwise.functions.numbers import growth_percent, percent, ratio, total
 from tillwise.functions.periods import month_label, month_start
-from tillwise.functions.text import known_id
+from tillwise.functions.text import known, strip
 
 # --- measures: use them in df.agg(...) or df.groupBy(...).agg(...) ------------------
 
@@ -38,8 +38,8 @@ def average_order_value(approximate: bool = False) -> Column:
 
 
 def _distinct_known(name: str, approximate: bool) -> Column:
-    known = known_id(F.col(name))
-    return F.approx_count_distinct(known) if approximate else F.count_distinct(known)
+    id_text = known(strip(F.col(name).cast("string")))
+    return F.approx_count_distinct(id_text) if approximate else F.count_distinct(id_text)
 
 
 def calculate_revenue(sales: DataFrame) -> DataFrame:
@@ -122,11 +122,11 @@ def calculate_kpis(sales: DataFrame) -> DataFrame:
     date = F.col("Date") if "Date" in sales.columns else F.lit(None).cast("date")
     keyed = sales.select(
         month_start(date).alias("month"),
-        known_id(F.col("Order_ID")).alias("order"),
-        known_id(F.col("Customer_ID")).alias("customer"),
+        strip(F.col("Order_ID").cast("string")).alias("order"),
+        strip(F.col("Customer_ID").cast("string")).alias("customer"),
         "Revenue",
         "Profit",
-    )
+    ).withColumns({"order": known(F.col("order")), "customer": known(F.col("customer"))})
     groups = keyed.groupingSets([["month"], ["order"], ["customer"]], "month", "order", "customer").agg(
         F.grouping("month").alias("no_month"),
         F.grouping("order").alias("no_order"),
