@@ -221,20 +221,21 @@ def rec_margin(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def rec_loss_products(spark: SparkSession, folder: str) -> DataFrame:
-    return recommend.loss_products(costly_lines(spark, folder))
+    return recommend.loss_products(recommend.product_totals(costly_lines(spark, folder)))
 
 
 @query
 def rec_share_products(spark: SparkSession, folder: str) -> DataFrame:
-    lines = sales_lines(spark, folder, ["Product", "Revenue", "Quantity"])
-    return recommend.high_share_products(lines, kpis.calculate_revenue(lines), PRODUCT_SHARE)
+    lines = sales_lines(spark, folder, ["Product", "Revenue"])
+    return recommend.high_share_products(recommend.product_totals(lines), kpis.calculate_revenue(lines), PRODUCT_SHARE)
 
 
 @query
 def rec_customer_risk(spark: SparkSession, folder: str) -> DataFrame:
     lines = sales_lines(spark, folder, ["Customer_ID", "Revenue"])
+    customers = recommend.customer_totals(lines)
     return recommend.customer_concentration(
-        lines, kpis.calculate_revenue(lines), CUSTOMER_SHARE_PCT, CUSTOMER_HIGH_PCT
+        customers, kpis.calculate_revenue(lines), CUSTOMER_SHARE_PCT, CUSTOMER_HIGH_PCT
     )
 
 

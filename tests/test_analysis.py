@@ -238,5 +238,5 @@ def test_recommendations(spark, sales, shop):
         "Mitigate Customer Concentration Risk (Customer: C001)",
     ]
     losing = sales.withColumn("Profit", F.when(F.col("Product") == "Mouse", -1.0).otherwise(F.col("Profit")))
-    loss = B.loss_products(losing).collect()
+    loss = B.loss_products(B.product_totals(losing)).collect()
     assert loss[0]["trigger_reason"] == "Product 'Mouse' operates at a net loss (Margin: -2.2%, Profit: -$3.00)."

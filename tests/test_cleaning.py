@@ -87,6 +87,8 @@ def test_plain_numbers_are_compared_by_value(spark):
     plain = raw(spark, [("2026-01-01", "1"), ("2026-01-01", "1.0"), ("2026-01-01", None)], "Date", "Revenue")
     mixed = raw(spark, [("2026-01-01", "1"), ("2026-01-01", "1.0"), ("2026-01-01", "$2")], "Date", "Revenue")
     assert clean_sales_data(plain).summary.first()["duplicate_rows_removed"] == 1
+    zero = raw(spark, [("2026-01-01", "0.00"), ("2026-01-01", "-0.00"), ("2026-01-01", "1.50")], "Date", "Profit")
+    assert clean_sales_data(zero).summary.first()["duplicate_rows_removed"] == 1
     assert clean_sales_data(mixed).summary.first()["duplicate_rows_removed"] == 0
 
 

@@ -72,6 +72,8 @@ def test_csv_in_and_out(spark, tmp_path):
     assert [tuple(r) for r in raw.collect()] == [
         ("2026-01-01", "O1", "$1,000", 'a "b", c'), ("2026-01-02", None, None, " ")
     ]
+    (tmp_path / "breaks.csv").write_text('Date,note\n2026-01-01,"a\nb"\n', encoding="utf-8")
+    assert load_data(spark, str(tmp_path / "breaks.csv"), line_breaks_in_cells=True).first()["note"] == "a\nb"
     frame = spark.createDataFrame([(date(2026, 1, 1), 100, 'a "b", c', None)], "Date date, Revenue long, t string, e string")
     write_csv(frame.coalesce(1), str(tmp_path / "out"))
     written = next((tmp_path / "out").glob("part-*.csv")).read_text(encoding="utf-8")

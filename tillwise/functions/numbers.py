@@ -37,11 +37,6 @@ def add_numbers(frame: DataFrame, cells: dict[str, str]) -> DataFrame:
     return frame.withColumns(finite).select(*[col(name) for name in [*names, *cells]])
 
 
-def is_plain_number(value: Column) -> Column:
-    """Text a typed CSV reader would take as a number as it stands."""
-    return strip(value).rlike(NUMBER_PATTERN)
-
-
 def ratio(top: Column, bottom: Column) -> Column:
     """Quotient in double, null when the divisor is zero or null."""
     return F.try_divide(top.cast("double"), bottom.cast("double"))

@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType
 
 from tillwise.fixed_values import (
     ACTION_TEXTS,
+    CURRENCY_MARKS,
     DATE_FORMATS,
     EMPTY_INPUT,
     NUMERIC_COLUMNS,
@@ -23,7 +24,7 @@ from tillwise.fixed_values import (
     UNKNOWN,
     UNSIGNED_COLUMNS,
 )
-from tillwise.functions.numbers import add_numbers, is_plain_number
+from tillwise.functions.numbers import add_numbers
 from tillwise.functions.periods import parse_date
 from tillwise.functions.text import blank_to_null, col
 from tillwise.operators.medians import bounds_columns, exact_medians
@@ -31,6 +32,7 @@ from tillwise.operators.profile import build_column_report, group_copies, nan_to
 from tillwise.sources.staging import stage
 
 COPIES = "copies of row"
+REGULAR_NUMBER = r"^(?!-0(\.0*)?$)-?(0|[1-9]\d*)(\.\d+)?$"
 PARSED, RAW, HAS_DATE_TEXT = "parsed ", "raw ", "has date text"
 SUMMARY_TYPE = (
     "rows_before long, rows_after long, columns long, duplicate_rows_removed long, invalid_dates_found long, "
@@ -92,7 +94,7 @@ def clean_sales_data(
     nulls_before = sum(first[f"nulls {place}"] for place in range(len(names)))
 
     # A column of plain numbers is compared by value: 1 and 1.0 are the same cell.
-    plain = [name for name in _text_numbers(renamed) if first[f"plain {name}"] and first[f"variants {name}"]]
+    plain = [name for name in _text_numbers(renamed) if _has_spellings(first, name)]
     if plain:
         by_value = staged.withColumns({name: col(PARSED + name) for name in plain})
         by_value = by_value.groupBy(*[col(name) for name in names]).agg(F.sum(COPIES).alias(COPIES))
@@ -194,12 +196,28 @@ def _raw_counters(renamed: DataFrame) -> list[Column]:
         counters.append(F.coalesce(nulls, F.lit(0)).alias(f"nulls {place}"))
     for name in _text_numbers(renamed):
         cell = col(RAW + name)
-        one_spelling = cell.rlike(r"^-?(0|[1-9]\d*)(\.\d*[1-9])?$")
-        counters.append(F.every(cell.isNull() | is_plain_number(cell)).alias(f"plain {name}"))
-        counters.append(F.some(cell.isNotNull() & ~one_spelling).alias(f"variants {name}"))
+        plain = col(name).isNotNull() & (F.translate(cell, CURRENCY_MARKS, "") == cell)
+        # Digits after the point; -1 for spellings such as 007, +7, 7., 7e0 or -0.
+        fraction = F.when(F.contains(cell, F.lit(".")), F.length(F.substring_index(cell, ".", -1))).otherwise(0)
+        digits = F.when(cell.rlike(REGULAR_NUMBER), fraction).otherwise(F.when(cell.isNotNull(), -1))
+        counters.append(F.every(cell.isNull() | plain).alias(f"plain {name}"))
+        counters.append(F.min(digits).alias(f"fewest digits {name}"))
+        counters.append(F.max(digits).alias(f"most digits {name}"))
+        counters.append(F.some((digits > 0) & cell.endswith("0")).alias(f"trailing zeros {name}"))
     return counters
 
 
+def _has_spellings(first: Row, name: str) -> bool:
+    """Whether a column of plain numbers can hold one value in several spellings.
+
+    It cannot when all cells have the same number of decimals, or none ends in a needless zero.
+    """
+    fewest, most = first[f"fewest digits {name}"], first[f"most digits {name}"]
+    if not first[f"plain {name}"] or fewest is None:
+        return False
+    return fewest < 0 or (fewest < most and first[f"trailing zeros {name}"])
+
+
 def _clean_counters(rows: DataFrame, names: list[str]) -> list[Column]:
     """Counters of the distinct rows; together with the raw counters one pass."""
     kept = _kept(names)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillwise.fixed_values import (
@@ -16,6 +18,7 @@ from tillwise.fixed_values import (
 )
 from tillwise.functions.numbers import percent, ratio, total
 from tillwise.functions.text import amount, fill
+from tillwise.sources.staging import stage
 
 RECOMMENDATION_TYPE = (
     "rule_no int, rank int, title string, priority string, category string, trigger_reason string, description string"
@@ -41,75 +44,73 @@ def low_margin(kpis: DataFrame, low: float = LOW_MARGIN, urgent: float = URGENT_
     return kpis.where(margin < low).select(*_advice("margin", 1, F.lit(1), priority, margin=amount(margin, 1)))
 
 
-def loss_products(sales: DataFrame, shown: int = LOSS_PRODUCTS_SHOWN) -> DataFrame:
-    """The worst products with a negative profit."""
-    profit = F.col("profit")
-    worst = (
-        _known(sales, "Product")
-        .groupBy("Product")
-        .agg(F.sum("Revenue").cast("double").alias("revenue"), F.sum("Profit").cast("double").alias("profit"))
-        .where(profit < 0)
-        .orderBy("profit", "Product")
-        .limit(shown)
+def product_totals(sales: DataFrame) -> DataFrame:
+    """(member, revenue, profit) per known product."""
+    profit = F.sum("Profit") if "Profit" in sales.columns else F.lit(None)
+    return (
+        sales.where(F.col("Product").isNotNull())
+        .groupBy(F.col("Product").alias("member"))
+        .agg(total(F.col("Revenue")).cast("double").alias("revenue"), profit.cast("double").alias("profit"))
+    )
+
+
+def customer_totals(sales: DataFrame) -> DataFrame:
+    """(member, revenue) per known customer."""
+    return (
+        sales.where(F.col("Customer_ID") != UNKNOWN)
+        .groupBy(F.col("Customer_ID").alias("member"))
+        .agg(total(F.col("Revenue")).cast("double").alias("revenue"))
     )
+
+
+def loss_products(products: DataFrame, shown: int = LOSS_PRODUCTS_SHOWN) -> DataFrame:
+    """The worst products with a negative profit."""
+    worst = products.where(F.col("profit") < 0).orderBy("profit", "member").limit(shown)
     # At most ``shown`` rows: their rank is the place in the sorted list of themselves.
-    listed = worst.agg(F.sort_array(F.collect_list(F.struct("profit", "Product", "revenue"))).alias("worst"))
+    listed = worst.agg(F.sort_array(F.collect_list(F.struct("profit", "member", "revenue"))).alias("worst"))
     return listed.select(F.posexplode("worst").alias("place", "row")).select(
         *_advice(
             "loss",
             2,
             F.col("place") + 1,
             F.lit("High"),
-            product=F.col("row.Product"),
+            product=F.col("row.member"),
             margin=F.coalesce(amount(percent(F.col("row.profit"), F.col("row.revenue")), 1), F.lit("-inf")),
             loss=amount(F.abs("row.profit")),
         )
     )
 
 
-def high_share_products(sales: DataFrame, kpis: DataFrame, share: float = PRODUCT_SHARE) -> DataFrame:
+def high_share_products(products: DataFrame, kpis: DataFrame, share: float = PRODUCT_SHARE) -> DataFrame:
     """Products with at least ``share`` of the revenue in the KPI row, in name order."""
     part = ratio(F.col("revenue"), kpis.select("revenue").scalar())
-    large = (
-        _known(sales, "Product")
-        .groupBy("Product")
-        .agg(total(F.col("Revenue")).cast("double").alias("revenue"))
-        .select("Product", part.alias("part"))
-        .where(F.col("part") >= share)
-    )
+    large = products.select("member", part.alias("part")).where(F.col("part") >= share)
     # Shares of one total: the list is bounded by 1 / share, not by the number of products.
-    listed = large.agg(F.sort_array(F.collect_list(F.struct("Product", "part"))).alias("large"))
+    listed = large.agg(F.sort_array(F.collect_list(F.struct("member", "part"))).alias("large"))
     return listed.select(F.posexplode("large").alias("place", "row")).select(
         *_advice(
             "share",
             3,
             F.col("place") + 1,
             F.lit("Medium"),
-            product=F.col("row.Product"),
+            product=F.col("row.member"),
             share=amount(F.col("row.part") * 100, 1),
         )
     )
 
 
 def customer_concentration(
-    sales: DataFrame,
+    customers: DataFrame,
     kpis: DataFrame,
     share_pct: float = CUSTOMER_SHARE_PCT,
     high_pct: float = CUSTOMER_SHARE_HIGH_PCT,
 ) -> DataFrame:
     """The customer with the largest revenue (first id on ties) when its share is too large."""
-    spend = (
-        _known(sales, "Customer_ID")
-        .where(F.col("Customer_ID") != UNKNOWN)
-        .groupBy("Customer_ID")
-        .agg(total(F.col("Revenue")).cast("double").alias("revenue"))
-    )
-    first = F.min(F.struct((-F.col("revenue")).alias("minus"), "Customer_ID")).alias("first")
-    revenue = -F.col("first.minus")
+    first = F.min(F.struct((-F.col("revenue")).alias("minus"), "member")).alias("first")
     share = percent(F.col("revenue"), kpis.select("revenue").scalar())
     return (
-        spend.agg(first)
-        .select(F.col("first.Customer_ID").alias("customer"), revenue.alias("revenue"))
+        customers.agg(first)
+        .select(F.col("first.member").alias("customer"), (-F.col("first.minus")).alias("revenue"))
         .withColumn("share", share)
         .where(F.col("share") >= share_pct)
         .select(
@@ -140,10 +141,6 @@ def _counter_rule(summary: DataFrame, rule: str, number: int, counter: str) -> D
     )
 
 
-def _known(sales: DataFrame, key: str) -> DataFrame:
-    return sales.where(F.col(key).isNotNull())
-
-
 def generate_recommendations(
     sales: DataFrame,
     kpis: DataFrame,
@@ -154,17 +151,22 @@ def generate_recommendations(
     customer_share_pct: float = CUSTOMER_SHARE_PCT,
     customer_high_pct: float = CUSTOMER_SHARE_HIGH_PCT,
 ) -> DataFrame:
-    """All triggered rules in rule order; nothing when there are no sales lines."""
+    """All triggered rules in rule order; nothing when there are no sales lines.
+
+    The KPI row is computed once; totals per product and customer are staged, each from one pass.
+    """
+    if sales.isEmpty():
+        return sales.sparkSession.createDataFrame([], RECOMMENDATION_TYPE)
     has = set(sales.columns).issuperset
+    kpis = sales.sparkSession.createDataFrame(kpis.collect(), kpis.schema)  # one row
     parts = [low_margin(kpis, low_margin_pct, urgent_margin_pct)]
-    if has({"Product", "Revenue", "Profit"}):
-        parts.append(loss_products(sales))
-    if has({"Product", "Revenue", "Quantity"}):
-        parts.append(high_share_products(sales, kpis, product_share))
+    if has({"Product", "Revenue"}):
+        products = stage(product_totals(sales), "products")
+        if has({"Profit"}):
+            parts.append(loss_products(products))
+        if has({"Quantity"}):
+            parts.append(high_share_products(products, kpis, product_share))
     if has({"Customer_ID", "Revenue"}):
-        parts.append(customer_concentration(sales, kpis, customer_share_pct, customer_high_pct))
+        parts.append(customer_concentration(customer_totals(sales), kpis, customer_share_pct, customer_high_pct))
     parts += [duplicate_audit(summary), date_audit(summary)]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return rows.where(sales.limit(1).select(F.lit(1)).exists()).orderBy("rule_no", "rank")
+    return reduce(DataFrame.unionByName, parts).orderBy("rule_no", "rank")

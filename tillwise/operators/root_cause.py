@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from tillwise.fixed_values import DRIVER_DIMENSIONS, DRIVER_METRICS, DRIVER_TEXTS, METRIC_ERROR
 from tillwise.functions.numbers import percent, ratio
-from tillwise.functions.periods import month_label, month_start
+from tillwise.functions.periods import month_start
 from tillwise.functions.text import amount, fill
-from tillwise.operators.kpis import latest_two
 
+SUMMARY_TYPE = (
+    "status string, drop_detected boolean, metric string, total_change double, pct_change double, "
+    "current_month string, previous_month string, current_value double, previous_value double"
+)
 CONTRIBUTOR_TYPE = (
     "dimension string, member string, previous_value double, current_value double, change double, "
     "pct_change double, abs_change double, contribution_pct double"
@@ -29,15 +32,23 @@ class RootCause:
 def analyze_root_cause(sales: DataFrame, metric: str = "Revenue") -> RootCause:
     """Who dragged the metric down from the previous to the latest month present.
 
-    ``contributors`` is a long frame with every member that fell; it is empty unless the
-    total fell. All frames are lazy.
+    The month totals are computed at once; the frames are lazy. ``contributors`` is a long frame with
+    every member that fell; it is empty unless the total fell.
     """
     if metric not in DRIVER_METRICS:
         raise ValueError(METRIC_ERROR)
-    usable = {"Date", metric} <= set(sales.columns)
-    lines = sales.where(F.col("Date").isNotNull() & F.col(metric).isNotNull()) if usable else None
-    summary = _summary(sales, lines, metric)
-    contributors = _contributors(sales, lines, metric)
+    if {"Date", metric} <= set(sales.columns):
+        lines = sales.where(F.col("Date").isNotNull() & F.col(metric).isNotNull())
+        latest = _latest(lines, metric)
+        status = "one_month"
+    else:
+        lines, latest, status = sales, [], "no_data"
+    if len(latest) == 2:
+        status = "decline" if latest[0]["value"] < latest[1]["value"] else "no_decline"
+    summary = _summary(sales, latest, metric, status)
+    contributors = _contributors(lines, latest, metric) if status == "decline" else None
+    if contributors is None:
+        contributors = sales.sparkSession.createDataFrame([], CONTRIBUTOR_TYPE)
     top = _top(contributors)
     return RootCause(
         summary=summary,
@@ -47,49 +58,41 @@ def analyze_root_cause(sales: DataFrame, metric: str = "Revenue") -> RootCause:
     )
 
 
-def _latest(lines: DataFrame, metric: str) -> DataFrame:
-    """One row with the latest two months (start, value), null where absent."""
+def _latest(lines: DataFrame, metric: str) -> list[Row]:
+    """The latest two months (start, value), the newest first: two rows at most for the driver."""
     months = lines.groupBy(month_start(F.col("Date")).alias("start")).agg(F.sum(metric).alias("value"))
-    now, before = latest_two(F.col("months"))
-    return months.agg(F.collect_list(F.struct("start", "value")).alias("months")).select(
-        now.alias("now"), before.alias("before")
-    )
-
-
-def _summary(sales: DataFrame, lines: DataFrame | None, metric: str) -> DataFrame:
-    if lines is None:
-        spark = sales.sparkSession
-        kind = "struct<start:date,value:double>"
-        pair = spark.range(1).select(F.lit(None).cast(kind).alias("now"), F.lit(None).cast(kind).alias("before"))
-        no_month = "no_data"
-    else:
-        pair, no_month = _latest(lines, metric), "one_month"
-    change = F.col("now.value") - F.col("before.value")
-    both = F.col("before").isNotNull()
-    status = F.when(~both, no_month).when(change >= 0, "no_decline").otherwise("decline")
-    known = lambda value: F.when(both, value).otherwise(0.0)
-    return pair.select(
-        status.alias("status"),
-        F.coalesce(both & (change < 0), F.lit(False)).alias("drop_detected"),
-        F.lit(metric).alias("metric"),
-        known(change.cast("double")).alias("total_change"),
-        known(F.coalesce(percent(change, F.col("before.value")), F.lit(0.0))).alias("pct_change"),
-        month_label(F.col("now.start")).alias("current_month"),
-        month_label(F.col("before.start")).alias("previous_month"),
-        F.col("now.value").cast("double").alias("current_value"),
-        F.col("before.value").cast("double").alias("previous_value"),
+    return months.orderBy(F.desc("start")).limit(2).collect()
+
+
+def _summary(sales: DataFrame, latest: list[Row], metric: str, status: str) -> DataFrame:
+    now = latest[0] if latest else None
+    before = latest[1] if len(latest) == 2 else None
+    change = float(now["value"] - before["value"]) if before else 0.0
+    base = float(before["value"]) if before else 0.0
+    row = (
+        status,
+        status == "decline",
+        metric,
+        change,
+        change / base * 100 if base else 0.0,
+        f"{now['start']:%Y-%m}" if now else None,
+        f"{before['start']:%Y-%m}" if before else None,
+        float(now["value"]) if now else None,
+        float(before["value"]) if before else None,
     )
+    return sales.sparkSession.createDataFrame([row], SUMMARY_TYPE)
 
 
-def _contributors(sales: DataFrame, lines: DataFrame | None, metric: str) -> DataFrame:
-    dimensions = [name for name in DRIVER_DIMENSIONS if name in sales.columns]
-    if lines is None or not dimensions:
-        return sales.sparkSession.createDataFrame([], CONTRIBUTOR_TYPE)
-    # One-row subquery. All lines from the previous month's first day on belong to the two months.
-    latest = _latest(lines, metric).select(F.struct("now", "before").alias("pair")).scalar()
+def _contributors(lines: DataFrame, latest: list[Row], metric: str) -> DataFrame | None:
+    """Members that fell between the two months, given as constants so that the filter reaches the scan."""
+    dimensions = [name for name in DRIVER_DIMENSIONS if name in lines.columns]
+    if not dimensions:
+        return None
+    now, before = latest
     value = F.col(metric)
-    recent = lines.where(F.col("Date") >= latest["before"]["start"]).select(
-        *dimensions, (F.col("Date") >= latest["now"]["start"]).alias("is_now"), value
+    # All lines from the previous month's first day on belong to one of the two months.
+    recent = lines.where(F.col("Date") >= F.lit(before["start"])).select(
+        *dimensions, (F.col("Date") >= F.lit(now["start"])).alias("is_now"), value
     )
     # All dimensions from one scan and one shuffle; tasks combine their rows per member first.
     sets = recent.groupingSets([[name] for name in dimensions], *dimensions).agg(
@@ -102,18 +105,17 @@ def _contributors(sales: DataFrame, lines: DataFrame | None, metric: str) -> Dat
         here = F.col(f"`without {name}`") == 0
         dimension = F.when(here, F.lit(name)).otherwise(dimension)
         member = F.when(here, F.col(name).cast("string")).otherwise(member)
-    zero = F.lit(0).cast(sales.schema[metric].dataType)
-    before, now = F.coalesce("before", zero), F.coalesce("now", zero)
-    total_change = (latest["now"]["value"] - latest["before"]["value"]).cast("double")
+    zero = F.lit(0).cast(lines.schema[metric].dataType)
+    earlier, later = F.coalesce("before", zero), F.coalesce("now", zero)
     members = sets.select(
         dimension.alias("dimension"),
         member.alias("member"),
-        before.cast("double").alias("previous_value"),
-        now.cast("double").alias("current_value"),
-        (now - before).cast("double").alias("change"),
+        earlier.cast("double").alias("previous_value"),
+        later.cast("double").alias("current_value"),
+        (later - earlier).cast("double").alias("change"),
     )
-    change = F.col("change")
-    return members.where(F.col("member").isNotNull() & (change < 0) & (total_change < 0)).select(
+    change, drop = F.col("change"), F.lit(float(before["value"] - now["value"]))
+    return members.where(F.col("member").isNotNull() & (change < 0)).select(
         "dimension",
         "member",
         "previous_value",
@@ -121,7 +123,7 @@ def _contributors(sales: DataFrame, lines: DataFrame | None, metric: str) -> Dat
         "change",
         F.coalesce(percent(change, F.col("previous_value")), F.lit(0.0)).alias("pct_change"),
         F.abs(change).alias("abs_change"),
-        (ratio(F.abs(change), F.abs(total_change)) * 100).alias("contribution_pct"),
+        (ratio(F.abs(change), drop) * 100).alias("contribution_pct"),
     )
 
 

@@ -14,6 +14,7 @@ from tillwise.functions.numbers import growth_percent, total
 from tillwise.functions.periods import month_label, month_start, quarter_label, year_label
 from tillwise.functions.text import amount, fill
 from tillwise.operators.kpis import latest_two
+from tillwise.sources.staging import stage
 
 MONTH_TYPE = "month date, Category string, Revenue double, Profit double"
 
@@ -146,8 +147,8 @@ def _fastest(base: DataFrame, floor: float) -> DataFrame:
 
 
 def trend_insights(sales: DataFrame, floor: float = GROWTH_FLOOR) -> DataFrame:
-    """(ord, insight) sentences."""
-    return _insights(month_sums(sales), floor).orderBy("ord")
+    """(ord, insight) sentences. The month sums are staged, so the lines are read once."""
+    return _insights(stage(month_sums(sales), "months"), floor).orderBy("ord")
 
 
 def _direction(growth: Column) -> Column:
@@ -230,8 +231,8 @@ def _insights(base: DataFrame, floor: float) -> DataFrame:
 
 
 def calculate_trends(sales: DataFrame, floor: float = GROWTH_FLOOR) -> Trends:
-    """All parts. They share one scan when the caller caches ``month_sums``; here each is lazy."""
-    base = month_sums(sales)
+    """All parts, from one pass over the lines: the small month sums are staged."""
+    base = stage(month_sums(sales), "months")
     return Trends(
         monthly=_in_order(_monthly(base)),
         quarterly=_in_order(_quarterly(base)),

@@ -8,12 +8,13 @@ from tillwise.fixed_values import NULL_TOKENS
 from tillwise.functions.text import col
 
 
-def load_data(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def load_data(spark: SparkSession, path: str | list[str], line_breaks_in_cells: bool = False) -> DataFrame:
     """Raw sales rows from files or folders with a header row.
 
     Cells stay text (no inference pass over the files); texts that mean "no value" are null.
+    Large files are split over many tasks unless cells may hold line breaks; then a file is one task.
     """
-    raw = spark.read.csv(path, header=True, escape='"', multiLine=False, encoding="UTF-8")
+    raw = spark.read.csv(path, header=True, escape='"', multiLine=line_breaks_in_cells, encoding="UTF-8")
     return raw.select(
         *[F.when(~col(name).isin(NULL_TOKENS), col(name)).alias(name) for name in raw.columns]
     )
