@@ -51,12 +51,16 @@ class RunStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
+        self._ready = False
 
     def initialize(self) -> None:
         """Create the tables that do not exist yet."""
+        if self._ready:
+            return
         for name, kinds in TABLES.items():
             empty = self.spark.createDataFrame([], f"{kinds}, run_id string")
             empty.write.mode("ignore").partitionBy("run_id").parquet(f"{self.path}/{name}")
+        self._ready = True
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.schema(f"run_id string, {TABLES[name]}").parquet(f"{self.path}/{name}")
