@@ -401,10 +401,9 @@ def loss(source: str) -> str:
 
 def share(source: str) -> str:
     return advice(
-        "share", 3, "n", "'Medium'",
-        f"""(SELECT Product, s, ROW_NUMBER() OVER (ORDER BY Product) AS n FROM (
-  SELECT Product, CAST(SUM(Revenue) AS DOUBLE) / (SELECT CAST(SUM(Revenue) AS DOUBLE) FROM {source}) AS s
-  FROM {source} WHERE Product IS NOT NULL GROUP BY 1) WHERE s >= {PRODUCT_SHARE})""",
+        "share", 3, "1", "'Medium'",
+        f"""(SELECT Product, CAST(SUM(Revenue) AS DOUBLE) / (SELECT CAST(SUM(Revenue) AS DOUBLE) FROM {source}) AS s
+  FROM {source} WHERE Product IS NOT NULL GROUP BY 1) WHERE s >= {PRODUCT_SHARE}""",
         product="Product", share=tenth("s * 100"),
     )
 
@@ -601,6 +600,11 @@ ROUND(CAST(Profit AS DOUBLE), 4) AS Profit) FROM numbered""",
     ),
     "sales_json": with_sales(f"SELECT row_number, {JSON} AS sales_record FROM numbered", NUMBERED),
     "numbered_rows": with_sales('SELECT row_number, "Date", Order_ID, Customer_ID, Product, Category FROM numbered', NUMBERED),
+    "preview_rows": with_sales(
+        f"""SELECT * EXCLUDE (row_number) REPLACE (CAST(Revenue AS DOUBLE) AS Revenue, CAST(Cost AS DOUBLE) AS Cost,
+CAST(Profit AS DOUBLE) AS Profit) FROM numbered WHERE row_number <= {V.PREVIEW_ROWS}""",
+        NUMBERED,
+    ),
     "csv_roundtrip": with_sales(
         "SELECT " + ", ".join(f'CAST("{name}" AS VARCHAR) AS "{name}"' for name in V.SALES_COLUMNS) + " FROM sales"
     ),

@@ -204,7 +204,11 @@ over_sales(
     lambda lines: _forecast_only(lines, "series", "Date", "Forecast_MA", "Forecast_LR", series="Category"),
     "Date", "Category", "Revenue",
 )
-over_sales("forecast_status", lambda lines: forecast.generate_forecast(lines, HORIZON, "Product").status, "Date", "Product", "Revenue")
+over_sales(
+    "forecast_status",
+    lambda lines: forecast.generate_forecast(lines, HORIZON, "Product").status,
+    "Date", "Product", "Revenue",
+)
 over_sales(
     "trailing_mean",
     lambda lines: forecast.daily_spine(lines).select("Date", forecast.trailing_mean(14).alias("mean_14_days")),
@@ -292,6 +296,14 @@ def numbered_rows(spark: SparkSession, folder: str) -> DataFrame:
     return number_rows(lines, cleaning.order_keys(lines)).select("row_number", "Date", *TEXT_COLUMNS)
 
 
+over_sales(
+    "preview_rows",
+    lambda lines: cleaning.preview(lines).withColumns(
+        {name: F.col(name).cast("double") for name in ("Revenue", "Cost", "Profit")}
+    ),
+)
+
+
 @query
 def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     path = _fresh(spark, "csv")

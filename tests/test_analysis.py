@@ -65,6 +65,7 @@ def test_reports(spark, sales, shop):
     tiers = {r["Customer_ID"]: r["Customer_Segment"].split()[0] for r in R.customer_segments(shop).collect()}
     assert tiers == {"C001": "VIP", "C002": "Occasional", "C003": "Regular", "C004": "Regular", "C005": "Regular"}
     assert [r["Category"] for r in R.top_categories(shop).collect()] == ["Electronics", "Furniture"]
+    assert [r["report"] for r in R.list_reports(spark).collect()] == list(R.REPORTS)
     with pytest.raises(ValueError, match="Unknown query key"):
         R.run_report("nothing", sales)
 

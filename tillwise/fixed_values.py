@@ -76,6 +76,7 @@ REPORT_TITLES = {
     "worst_products": "Worst Performing Products (Lowest Margins)",
 }
 REPORT_ROWS = 5
+PREVIEW_ROWS = 20
 SEGMENT_VIP = "VIP (Spend >= $15k)"
 SEGMENT_REGULAR = "Regular (Spend $3k - $15k)"
 SEGMENT_OCCASIONAL = "Occasional (Spend < $3k)"

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.types import StringType
@@ -19,6 +20,7 @@ from tillwise.fixed_values import (
     DATE_FORMATS,
     EMPTY_INPUT,
     NUMERIC_COLUMNS,
+    PREVIEW_ROWS,
     SALES_COLUMNS,
     TEXT_COLUMNS,
     UNKNOWN,
@@ -44,12 +46,17 @@ ACTION_TYPE = "step long, column string, rows long, value double, message string
 
 @dataclass
 class CleanResult:
-    """Cleaned rows (unordered; see ``in_date_order``) and the three reports about them."""
+    """Cleaned rows (unordered; see ``in_date_order``) and the reports about them."""
 
     cleaned: DataFrame
     summary: DataFrame
-    column_report: DataFrame
     actions: DataFrame
+    distinct_raw: DataFrame  # raw rows as staged, with their copies
+    approximate: bool = False
+
+    @cached_property
+    def column_report(self) -> DataFrame:
+        return build_column_report(self.distinct_raw, self.cleaned, self.approximate, weight=COPIES)
 
 
 def standardize_column_names(frame: DataFrame) -> DataFrame:
@@ -71,6 +78,11 @@ def in_date_order(frame: DataFrame) -> DataFrame:
     return frame.orderBy(*[col(name) for name in order_keys(frame)])
 
 
+def preview(frame: DataFrame, rows: int = PREVIEW_ROWS) -> DataFrame:
+    """The first rows in date order."""
+    return in_date_order(frame).limit(rows)
+
+
 def order_keys(frame: DataFrame) -> list[str]:
     first = [name for name in SALES_COLUMNS if name in frame.columns]
     return first + [name for name in frame.columns if name not in first]
@@ -115,10 +127,9 @@ def clean_sales_data(
     return CleanResult(
         cleaned=cleaned,
         summary=spark.createDataFrame([summary], SUMMARY_TYPE),
-        column_report=build_column_report(
-            staged.select(*[col(name) for name in names], COPIES), cleaned, approximate, weight=COPIES
-        ),
         actions=spark.createDataFrame(actions, ACTION_TYPE),
+        distinct_raw=staged.select(*[col(name) for name in names], COPIES),
+        approximate=approximate,
     )
 
 

@@ -82,21 +82,11 @@ def loss_products(products: DataFrame, shown: int = LOSS_PRODUCTS_SHOWN) -> Data
 
 
 def high_share_products(products: DataFrame, kpis: DataFrame, share: float = PRODUCT_SHARE) -> DataFrame:
-    """Products with at least ``share`` of the revenue in the KPI row, in name order."""
+    """Products with at least ``share`` of the revenue in the KPI row; in name order when sorted by title."""
     part = ratio(F.col("revenue"), kpis.select("revenue").scalar())
     large = products.select("member", part.alias("part")).where(F.col("part") >= share)
-    # Shares of one total: the list is bounded by 1 / share, not by the number of products.
-    listed = large.agg(F.sort_array(F.collect_list(F.struct("member", "part"))).alias("large"))
-    return listed.select(F.posexplode("large").alias("place", "row")).select(
-        *_advice(
-            "share",
-            3,
-            F.col("place") + 1,
-            F.lit("Medium"),
-            product=F.col("row.member"),
-            share=amount(F.col("row.part") * 100, 1),
-        )
-    )
+    words = {"product": F.col("member"), "share": amount(F.col("part") * 100, 1)}
+    return large.select(*_advice("share", 3, F.lit(1), F.lit("Medium"), **words))
 
 
 def customer_concentration(
@@ -169,4 +159,4 @@ def generate_recommendations(
     if has({"Customer_ID", "Revenue"}):
         parts.append(customer_concentration(customer_totals(sales), kpis, customer_share_pct, customer_high_pct))
     parts += [duplicate_audit(summary), date_audit(summary)]
-    return reduce(DataFrame.unionByName, parts).orderBy("rule_no", "rank")
+    return reduce(DataFrame.unionByName, parts).orderBy("rule_no", "rank", "title")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillwise.fixed_values import (
     REPORT_ROWS,
+    REPORT_TITLES,
     SEGMENT_OCCASIONAL,
     SEGMENT_REGULAR,
     SEGMENT_REGULAR_RANGE,
@@ -115,6 +116,11 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def list_reports(spark: SparkSession) -> DataFrame:
+    """(report, title) of every named report."""
+    return spark.createDataFrame([(name, REPORT_TITLES[name]) for name in REPORTS], "report string, title string")
+
+
 def run_report(name: str, sales: DataFrame) -> DataFrame:
     if name not in REPORTS:
         raise ValueError(f"Unknown query key: {name}")
