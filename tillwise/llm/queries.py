@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillwise.llm import simhash_dedup
-from tillwise.llm.common import table
+from tillwise.llm import language_id, mixing, packing, simhash_dedup, substring_dedup
+from tillwise.llm.common import SPACES, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -17,11 +17,51 @@ def query(function):
     return function
 
 
+def vocabulary() -> tuple[str, str]:
+    """Files of one public vocabulary: for the tokenizers library, and as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    pieces = packing.pack(docs, ["doc_id"], *vocabulary())
+    return pieces.select(
+        "row.doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@query
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    drawn = mixing.mix(docs, ["doc_id"], undrawn=True)
+    return mixing.taken(drawn).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    profiles = language_id.learn(docs.where(~language_id.held_out()))
+    found = language_id.classify(docs, profiles, ["doc_id"])
+    out = F.coalesce(language_id.held_out(), F.lit(False))
+    return found.select("row.doc_id", "lang_pred", "score").withColumn("held_out", out)
+
+
 @query
 def op8_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, folder, "documents"), shingle=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    cut = substring_dedup.remove_repeats(docs, window=20)
+    words = F.regexp_replace(F.trim(F.coalesce("text", F.lit("")), F.lit(SPACES)), r"[\x20\x09-\x0D]+", " ")
+    return cut.select("row.doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
 # Queries that SQL can express have their DuckDB text here.
 ORACLE: dict[str, str] = {}
