@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillwise.llm import language_id, mixing, packing, simhash_dedup, substring_dedup
+from tillwise.llm import (
+    language_id,
+    license_scan,
+    mixing,
+    nearest,
+    packing,
+    quality,
+    quotations,
+    simhash_dedup,
+    substring_dedup,
+    warc,
+)
 from tillwise.llm.common import SPACES, table
+from tillwise.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -24,6 +37,11 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+@query
+def op1_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @query
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -40,6 +58,27 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(drawn).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tillwise-stage/warc-{uuid4()}"
+    warc.write_archives(warc.with_revisits(table(spark, folder, "pages"), least_bytes=0), path)
+    found = warc.read_archives(spark, path, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("row.doc_id", *counts, "base_failed", "kept", "quality")
+
+
+@query
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.scan(table(spark, folder, "documents").select("doc_id", "text"), ["doc_id"])
+    return found.select("row.doc_id", *[c for c in found.columns if c != "row"])
+
+
 @query
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
@@ -63,5 +102,10 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("row.doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
+@query
+def op10_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
+    return quotations.conversations(table(spark, folder, "conversations"))
+
+
 # Queries that SQL can express have their DuckDB text here.
 ORACLE: dict[str, str] = {}
