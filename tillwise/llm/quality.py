@@ -29,11 +29,14 @@ GOOD, BAD, ABSTAIN = 1, -1, 0
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 
+#: Least share of good documents on which a rule that votes is right; the bounds below are set that wide.
+PRECISION = 0.995
+
 #: Rules: name, ratio, and two pairs of bounds: a ratio inside the first votes good, one outside the second votes bad.
 #: A ratio without a denominator is null, which abstains.
 RULES: list[tuple[str, str, tuple[float, float], tuple[float, float]]] = [
     ("symbols", "n_symbols / n_words", (0.0, 0.02), (0.0, 0.1)),
-    ("repeated_lines", "n_dup_lines / n_lines", (0.0, 0.05), (0.0, 0.3)),
+    ("repeated_lines", "n_dup_lines / n_lines", (0.0, 0.05), (0.0, 0.5)),
     ("repeated_words", "n_repeat_words / n_words", (0.0, 0.1), (0.0, 0.3)),
     ("word_length", "word_chars / n_words", (3.0, 10.0), (2.0, 14.0)),
     ("letters", "n_letters / word_chars", (0.85, 1.0), (0.65, 1.0)),
@@ -124,7 +127,7 @@ class LabelModel:
                 given = [(p, v[rule], n) for p, (v, n) in zip(believed, patterns) if v[rule] != ABSTAIN]
                 yes = sum(p * n for p, v, n in given if v == GOOD) + 0.5
                 no = sum(p * n for p, v, n in given if v == BAD) + 0.5
-                self.good[rule] = yes / (yes + no)
+                self.good[rule] = max(yes / (yes + no), PRECISION)
                 yes = sum((1 - p) * n for p, v, n in given if v == GOOD) + 0.5
                 no = sum((1 - p) * n for p, v, n in given if v == BAD) + 0.5
                 # A good vote is never evidence against a document: the rules are better than chance.
