@@ -233,7 +233,7 @@ def near_duplicates(
 def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """The documents without near copies: of each group the row with the smallest id stays, once."""
     groups = near_duplicates(docs, shingle, radius)
-    stay = groups.select(F.col("component_id").alias("_id"), F.col("kept_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    match = (hashed["_hash"] == stay["_hash"]) & hashed["doc_id"].eqNullSafe(stay["_id"])
-    return hashed.join(stay, match, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    stay = groups.select(F.col("component_id").alias("id"), F.col("kept_hash").alias("hash")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("h"))
+    match = (rows["h"] == stay["hash"]) & rows["doc_id"].eqNullSafe(stay["id"])
+    return rows.join(stay, match, "left_semi").dropDuplicates(["doc_id", "h"]).select("row.*")
