@@ -15,8 +15,8 @@ Method
 Scale
     A remainder finds its place from its length and its number among those of equal length, so nothing but the plan (of
     a size bounded by the window) is shared. Numbers are counted inside each written part and shifted by the parts
-    before; no length, however frequent, is gathered in one task. Token ids are written once. They meet the shifts, one
-    row per part, in a join that Spark broadcasts when the shifts are small and sorts when they are not.
+    before; no length, however frequent, is gathered in one task. Token ids are written once. They meet
+    the shifts, a row for each part and length, in a join that Spark broadcasts when these are small and sorts when not.
 
 Defined results: a null or empty text is the single end token; repeated rows are packed each on its own; a null id is carried
 along; an empty table gives no rows; other columns are ignored unless kept, and then stand inside ``row``.
@@ -31,6 +31,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -38,6 +39,7 @@ from tillwise.llm.common import slices
 from tillwise.sources.staging import stage
 
 WINDOW = 1024
+SLICE_BYTES = 1 << 20
 END = 0
 #: Texts of these characters only are split alike by both tokenizer libraries; the rest goes through the slower one.
 ALIKE = re.compile(r"[\t\n\r -~¡-ɏ]*")
@@ -75,13 +77,13 @@ def token_ids(texts: list[str | None], json_path: str, ranks_path: str | None =
     slow = []
     for k, text in enumerate(texts):
         if not text:
-            out[k] = np.array([END], np.uint32)
+            out[k] = np.array([END], "<u4")
         elif fast is not None and "<|" not in text and ALIKE.fullmatch(text):
-            out[k] = np.array([*fast.encode_ordinary(text), END], np.uint32)
+            out[k] = np.array([*fast.encode_ordinary(text), END], "<u4")
         else:
             slow.append(k)
     for k, found in zip(slow, exact.encode_batch([texts[k] for k in slow], add_special_tokens=False) if slow else []):
-        out[k] = np.array([*found.ids, END], np.uint32)
+        out[k] = np.array([*found.ids, END], "<u4")
     return out
 
 
@@ -138,19 +140,20 @@ class Plan:
         histogram = histogram.astype(np.int64)
         combos = combinations(np.flatnonzero(histogram), window)
         solved = repeat_counts(combos, histogram.astype(float))
-        left = histogram.copy()
-        repeats = np.zeros(len(combos), np.int64)
+        left, repeats = histogram.tolist(), [0] * len(combos)
+        parts = [[length for length in combo if length] for combo in combos.tolist()]
         # Rounded counts first, then what is still possible, both from the most used combination down.
-        for wanted in (np.floor(solved + 1e-9).astype(np.int64), None):
-            for j in np.argsort(-solved, kind="stable"):
-                if wanted is not None and not wanted[j]:
+        for wanted in (np.floor(solved + 1e-9).astype(np.int64).tolist(), None):
+            for j in np.argsort(-solved, kind="stable").tolist():
+                if wanted and not wanted[j]:
                     break
-                parts, uses = np.unique(combos[j][combos[j] > 0], return_counts=True)
-                able = int((left[parts] // uses).min())
-                n = able if wanted is None else min(able, int(wanted[j]))
+                n = min(left[length] // parts[j].count(length) for length in parts[j])
+                n = min(n, wanted[j]) if wanted else n
                 if n:
-                    left[parts] -= n * uses
                     repeats[j] += n
+                    for length in parts[j]:
+                        left[length] -= n
+        left, repeats = np.array(left, np.int64), np.array(repeats, np.int64)
         self.sequences = int(repeats.sum())
         # Places of a length: its first `run` numbers go to sequences from `sequence` on, at `offset`, and so on.
         begin = np.cumsum(repeats) - repeats
@@ -206,15 +209,14 @@ class Plan:
 # --- the job ----------------------------------------------------------------------------------------------------------
 
 
-def _shift_rows(counts: DataFrame, window: int) -> DataFrame:
-    """One row per part: how many whole windows and how many remainders of each length stand in the parts before."""
+def _shift_rows(counts: DataFrame) -> DataFrame:
+    """For each part and length: how many such remainders, and how many whole windows, stand in the parts before."""
     before = Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shifted = counts.withColumn("rows_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    parts = shifted.groupBy("part").agg(
-        F.sort_array(F.collect_list(F.struct("rest", "rows_before"))).alias("rests"), F.sum("whole").alias("whole")
-    )
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
-    return parts.select("part", "rests", F.coalesce(F.sum("whole").over(earlier), F.lit(0)).alias("whole_before"))
+    whole = counts.groupBy("part").agg(F.sum("whole").alias("whole"))
+    whole = whole.select("part", F.coalesce(F.sum("whole").over(earlier), F.lit(0)).alias("whole_before"))
+    rests = counts.select("part", "rest", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rest_before"))
+    return rests.join(whole, "part")
 
 
 def pack(
@@ -235,9 +237,10 @@ def pack(
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_column}`").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack_ids = zstandard.ZstdCompressor(level=3).compress
         part, whole_so_far, so_far = TaskContext.get().partitionId(), 0, np.zeros(window, np.int64)
         for batch in batches:
-            for some in slices(batch, 1):
+            for some in slices(batch, 1, SLICE_BYTES):
                 found = token_ids(some.column(1).to_pylist(), json_path, ranks_path)
                 counts = [len(ids) for ids in found]
                 whole, number = [], []
@@ -253,7 +256,7 @@ def pack(
                         pa.array(counts, pa.int64()),
                         pa.array(whole, pa.int64()),
                         pa.array(number, pa.int64()),
-                        pa.array([zlib.compress(ids.astype("<u4").tobytes(), 1) for ids in found], pa.binary()),
+                        pa.array([pack_ids(ids.tobytes()) for ids in found], pa.binary()),
                     ],
                     ["row", "part", "n", "whole", "number", "z"],
                 )
@@ -261,7 +264,8 @@ def pack(
     names = [("part", T.IntegerType()), ("n", T.LongType()), ("whole", T.LongType()), ("number", T.LongType())]
     kinds = T.StructType([rows.schema["row"], *(T.StructField(*x) for x in names), T.StructField("z", T.BinaryType())])
     tokens = stage(rows.mapInArrow(encode, kinds), "tokens")
-    counts = tokens.groupBy("part", (F.col("n") % window).cast("int").alias("rest")).agg(
+    rest = (F.col("n") % window).cast("int")
+    counts = tokens.groupBy("part", rest.alias("rest")).agg(
         F.count("*").alias("n"), F.sum(F.floor(F.col("n") / window).cast("long")).alias("whole")
     )
     histogram, whole_all = np.zeros(window + 1, np.int64), 0
@@ -269,21 +273,19 @@ def pack(
         histogram[row.rest] += row.n if row.rest else 0
         whole_all += row.whole
     plan = Plan(histogram, window)
-    shifts = stage(_shift_rows(counts, window), "shifts")
+    shifts = stage(_shift_rows(counts), "shifts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, dict[int, int]] = {}
-        for batch in batches:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for some in (part for batch in batches for part in slices(batch, 4, SLICE_BYTES)):
             source, columns = [], [[] for _ in range(7)]
-            part, n, whole, number, z, rests, whole_before = (batch.column(k).to_pylist() for k in (1, 2, 3, 4, 5, 6, 7))
-            for k in range(batch.num_rows):
-                if part[k] not in known:
-                    known = {part[k]: {r["rest"]: r["rows_before"] for r in rests[k]}}
-                ids = zlib.decompress(z[k])
+            n, whole, number, z, rest_before, whole_before = (some.column(k).to_pylist() for k in range(1, 7))
+            for k in range(some.num_rows):
+                ids = unpack(z[k])
                 full, rest = divmod(n[k], window)
                 pieces = [(j * window, window, whole_before[k] + whole[k] + j, 0) for j in range(full)]
                 if rest:
-                    for begin, length, sequence, offset in plan.places(rest, known[part[k]][rest] + number[k]):
+                    for begin, length, sequence, offset in plan.places(rest, rest_before[k] + number[k]):
                         pieces.append((full * window + begin, length, whole_all + sequence, offset))
                 for begin, length, sequence, offset in pieces:
                     own = ids[4 * begin : 4 * (begin + length)]
@@ -293,11 +295,12 @@ def pack(
             long = pa.int64()
             types = [long, long, pa.binary(), long, long, long, long]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(source, long)), *(pa.array(c, t) for c, t in zip(columns, types))],
+                [some.column(0).take(pa.array(source, long)), *(pa.array(c, t) for c, t in zip(columns, types))],
                 ["row", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
 
-    joined = tokens.join(shifts, "part").select("row", "part", "n", "whole", "number", "z", "rests", "whole_before")
+    joined = tokens.withColumn("rest", rest).join(shifts, ["part", "rest"])
+    joined = joined.select("row", "n", "whole", "number", "z", "rest_before", "whole_before")
     fields = [joined.schema["row"]] + [
         T.StructField(name, T.BinaryType() if name == "ids" else T.LongType())
         for name in ("start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")
