@@ -442,7 +442,7 @@ def json_cell(name: str) -> str:
 
 JSON = "'{' || " + " || ',' || ".join(json_cell(name) for name in V.SALES_COLUMNS) + " || '}'"
 
-PRODUCT_KEY = "md5(COALESCE('=' || Product, '-') || '|' || COALESCE('=' || Category, '-'))"
+PRODUCT_KEY = "md5(COALESCE(length(Product) || '=' || Product, '-') || '|' || COALESCE(length(Category) || '=' || Category, '-'))"
 MEASURES = """ROUND(CAST(SUM(Revenue) AS DOUBLE), 4) AS total_revenue, ROUND(CAST(SUM(Cost) AS DOUBLE), 4) AS total_cost,
  ROUND(CAST(SUM(Revenue) - SUM(Cost) AS DOUBLE), 4) AS total_profit,
  ROUND(COALESCE(CAST(SUM(Revenue) - SUM(Cost) AS DOUBLE) / NULLIF(CAST(SUM(Revenue) AS DOUBLE), 0), 0), 4) AS profit_margin,
@@ -566,6 +566,7 @@ UNION ALL SELECT d, NULL, ROUND(ma, 4), ROUND(lr, 4), 'Forecast' FROM future""",
     ),
     "forecast_metrics": with_sales(
         """SELECT ROUND(slope, 4) AS slope, ROUND(intercept, 4) AS intercept, ROUND(mean, 4) AS average_historical_daily,
+CAST(LEAST(w, n) AS INTEGER) AS window_days, ROUND(list_avg(ys[-w:]), 4) AS window_average,
 (SELECT ROUND(SUM(ma), 4) FROM future) AS horizon_total_ma, (SELECT ROUND(SUM(lr), 4) FROM future) AS horizon_total_lr
 FROM model""",
         ALL,
@@ -608,6 +609,9 @@ CAST(Profit AS DOUBLE) AS Profit) FROM numbered WHERE row_number <= {V.PREVIEW_R
     "csv_roundtrip": with_sales(
         "SELECT " + ", ".join(f'CAST("{name}" AS VARCHAR) AS "{name}"' for name in V.SALES_COLUMNS) + " FROM sales"
     ),
+    "csv_two_orders": with_sales(
+        "SELECT " + ", ".join(f'CAST("{name}" AS VARCHAR) AS "{name}"' for name in V.SALES_COLUMNS) + " FROM sales"
+    ),
     "dim_products": with_sales(
         f"SELECT DISTINCT {PRODUCT_KEY} AS Product_ID, Product AS Product_Name, Category FROM sales"
     ),

@@ -311,6 +311,16 @@ def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return load_data(spark, path)
 
 
+@query
+def csv_two_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines in two folders whose files have their columns in opposite orders, read back together."""
+    lines, paths = sales_lines(spark, folder), [_fresh(spark, "csv-odd"), _fresh(spark, "csv-even")]
+    for rest, path in enumerate(paths):
+        columns = lines.columns if rest else lines.columns[::-1]
+        write_csv(lines.where(F.col("Order_ID").cast("long") % 2 == rest).select(*columns), path)
+    return load_data(spark, paths)
+
+
 # --- star schema ------------------------------------------------------------------
 over_sales("dim_products", star.dim_products, "Product", "Category")
 over_sales("dim_customers", star.dim_customers, "Customer_ID")

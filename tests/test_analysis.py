@@ -94,6 +94,20 @@ def test_adhoc_select(spark, sales):
     assert run_select(tables, text, "other").count() == 0
     assert spark.table("sales_data").count() == 1, "the caller's view is put back"
     spark.catalog.dropTempView("sales_data")
+    nested = "SELECT (SELECT max(Revenue) FROM sales_data) AS m, (SELECT count(*) FROM sales_data) AS n"
+    assert run_select(tables, nested, "r1").first()["n"] == sales.count()
+    sales.createOrReplaceTempView("foreign_rows")
+    for refused in (
+        "SELECT * FROM foreign_rows",
+        "SELECT (SELECT count(*) FROM foreign_rows) AS n FROM sales_data",
+        "SELECT * FROM sales_data WHERE EXISTS (SELECT 1 FROM foreign_rows)",
+        "SELECT * FROM text.`/etc/hostname`",
+    ):
+        with pytest.raises(ValueError, match="not part of the run store"):
+            run_select(tables, refused, "r1")
+    spark.catalog.dropTempView("foreign_rows")
+    with pytest.raises(ValueError, match="forbidden"):
+        run_select(tables, "SELECT reflect('java.lang.System', 'getProperty', 'user.dir') FROM sales_data", "r1")
     assert check_select("  select 1 ") == "select 1"
     for refused in ("INSERT INTO sales_data VALUES (1)", "WITH x AS (SELECT 1) SELECT * FROM x"):
         with pytest.raises(ValueError, match="SELECT"):
@@ -192,6 +206,12 @@ def test_forecast_of_the_shop(shop):
     metrics = made.metrics.first()
     assert math.isclose(metrics["slope"], -6900) and math.isclose(metrics["intercept"], 29000)
     assert metrics["average_historical_daily"] == 15200
+    assert (metrics["window_days"], metrics["window_average"]) == (5, 15200)
+    none = FC.generate_forecast(shop, 0)
+    assert none.rows.where("Type = 'Forecast'").count() == 0 and none.rows.count() == 6
+    assert none.metrics.first()["horizon_total_ma"] == 0.0
+    with pytest.raises(ValueError, match="negative"):
+        FC.generate_forecast(shop, -1)
 
 
 @pytest.mark.parametrize("days", [4, 5, 13, 14, 20])

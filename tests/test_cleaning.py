@@ -76,11 +76,16 @@ def test_all_null_number_becomes_zero(spark):
 def test_dates_and_formats(spark):
     cells = ["2026-1-5", "2026-01-06", "01/02/2026", "2026-01-03 10:00", None, " 2026-02-01 "]
     source = raw(spark, [(c, str(i)) for i, c in enumerate(cells)], "Date", "Order_ID")
-    assert sorted(r["Order_ID"] for r in clean_data(source).collect()) == ["0", "1", "5"]
-    wider = clean_data(source, ["yyyy-M-d", "MM/dd/yyyy", "yyyy-MM-dd HH:mm"])
-    assert sorted(r["Order_ID"] for r in wider.collect()) == ["0", "1", "2", "3", "5"]
-    summary = clean_sales_data(source).summary.first()
+    found = {r["Order_ID"]: str(r["Date"]) for r in clean_data(source).collect()}
+    assert found == {"0": "2026-01-05", "1": "2026-01-06", "2": "2026-01-02", "3": "2026-01-03", "5": "2026-02-01"}
+    narrow = clean_sales_data(source, ["yyyy-M-d"])
+    assert sorted(r["Order_ID"] for r in narrow.cleaned.collect()) == ["0", "1", "5"]
+    summary = narrow.summary.first()
     assert summary["invalid_dates_found"] == 2 and summary["rows_after"] == 3
+    times = raw(spark, [("2026-01-06T00:00:00",), ("2026-01-07 10:00:01.25",), ("31/01/2026",)], "Date")
+    assert [str(r["Date"]) for r in in_date_order(clean_data(times)).collect()] == ["2026-01-06", "2026-01-07"]
+    day_first = clean_data(times, ["d/M/yyyy"])
+    assert [str(r["Date"]) for r in day_first.collect()] == ["2026-01-31"]
 
 
 def test_plain_numbers_are_compared_by_value(spark):

@@ -80,6 +80,33 @@ def test_csv_in_and_out(spark, tmp_path):
     assert written == 'Date,Revenue,t,e\n2026-01-01,100,"a ""b"", c",\n'
 
 
+def test_csv_lines_that_do_not_fit(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("Date,Order_ID,Revenue\n2026-01-01,O1,5\n2026-01-02,O2,1,234.50\n")
+    (tmp_path / "quote.csv").write_text('Date,Order_ID,note\n2026-01-01,O1,"a\nb"\n')
+    for name in ("long.csv", "quote.csv"):
+        frame = load_data(spark, str(tmp_path / name))
+        for act in (frame.collect, frame.count):
+            with pytest.raises(Exception, match="more cells than the header"):
+                act()
+    (tmp_path / "short.csv").write_text('Date,Order_ID,Revenue\n2026-01-01,"O,1"\n2026-01-02,O2,5\n')
+    short = load_data(spark, str(tmp_path / "short.csv"))
+    assert [tuple(r) for r in short.collect()] == [("2026-01-01", "O,1", None), ("2026-01-02", "O2", "5")]
+    assert short.count() == 2
+
+
+def test_csv_files_with_other_column_orders(spark, tmp_path):
+    for name, text in (("a", "Date,Order ID,Revenue,Cost\n2026-01-01,O1,9,4\n"), ("b", "order_id,date,cost,revenue\nO2,2026-01-02,1,2\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.csv").write_text(text)
+    rows = load_data(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).orderBy("Order_ID").collect()
+    assert [(r["Date"], r["Order_ID"], r["Revenue"], r["Cost"]) for r in rows] == [
+        ("2026-01-01", "O1", "9", "4"), ("2026-01-02", "O2", "2", "1")
+    ]
+    (tmp_path / "a" / "y.csv").write_text("Order ID,Date,Revenue,Cost\nO3,2026-01-03,1,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        load_data(spark, str(tmp_path / "a")).collect()
+
+
 def test_whole_job(spark, tmp_path):
     (tmp_path / "in.csv").write_text(
         "date,ORDER-ID,Customer Id,product,category,revenue,cost,profit,quantity\n"
@@ -114,6 +141,8 @@ def test_star(spark, sales):
     assert S.dim_products(sales).count() == 2 and S.dim_customers(sales).count() == 3
     joined = S.fact_sales(sales).join(S.dim_products(sales), "Product_ID")
     assert joined.count() == 6
+    odd = spark.createDataFrame([("A|=B", "C"), ("A", "B|=C"), (None, "C"), ("-", "C")], "Product string, Category string")
+    assert S.dim_products(odd).select("Product_ID").distinct().count() == 4
     calendar = S.dim_calendar(sales).orderBy("Date").collect()
     assert len(calendar) == 74 and tuple(calendar[0])[1:] == (2026, 1, 1, "January", "Thursday")
     row = S.star_measures(S.fact_sales(sales)).first()

@@ -38,7 +38,7 @@ WHITESPACE = (
 )
 CURRENCY_MARKS = "$,"
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-DATE_FORMATS = ("yyyy-M-d",)
+DATE_FORMATS = ("yyyy-M-d", "yyyy-M-d H:mm[:ss][.SSSSSS]", "yyyy-M-d'T'H:mm[:ss][.SSSSSS]", "M/d/yyyy")
 
 # --- fixed values: KPI table -----------------------------------------------------
 # (KPI, unit, snapshot column)
@@ -196,4 +196,6 @@ KPI_ERRORS = {
 EMPTY_INPUT = "The uploaded CSV does not contain any data rows."
 METRIC_ERROR = "Root Cause Analysis is only supported for 'Revenue' or 'Profit'."
 SELECT_ERROR = "Security error: Only SELECT queries are allowed."
+REFLECTIVE_WORDS = ["REFLECT", "JAVA_METHOD"]
+TABLE_ERROR = "Security error: Table '{name}' is not part of the run store."
 WORD_ERROR = "Security error: Use of forbidden keyword '{word}' is not allowed."

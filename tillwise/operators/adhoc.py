@@ -1,13 +1,20 @@
-"""Ad-hoc SELECT texts over a set of tables, behind a text gate."""
+"""Ad-hoc SELECT texts over a set of tables, behind a gate."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillwise.fixed_values import REFUSED_WORDS, SELECT_ERROR, WORD_ERROR
+from tillwise.fixed_values import REFLECTIVE_WORDS, REFUSED_WORDS, SELECT_ERROR, TABLE_ERROR, WORD_ERROR
+
+#: Views are swapped and texts analyzed by one thread at a time, so that calls never see each other's tables.
+_ANALYSIS = Lock()
+_RELATION = re.compile(r"'UnresolvedRelation \[([^\]]*)\]")
+_FILES = "spark.sql.runSQLOnFiles"
 
 
 def check_select(text: str) -> str:
@@ -16,20 +23,41 @@ def check_select(text: str) -> str:
     upper = trimmed.upper()
     if not upper.startswith("SELECT"):
         raise ValueError(SELECT_ERROR)
-    for word in REFUSED_WORDS:
+    for word in REFUSED_WORDS + REFLECTIVE_WORDS:
         if word in upper:
             raise ValueError(WORD_ERROR.format(word=word))
     return trimmed
 
 
 def run_select(tables: dict[str, DataFrame], text: str, run_id: str) -> DataFrame:
-    """Run Spark SQL text over the given tables, with ``:run_id`` bound."""
+    """Run Spark SQL text over the given tables and no others, with ``:run_id`` bound."""
     checked = check_select(text)
     spark = next(iter(tables.values())).sparkSession
-    with _temp_views(spark, tables):
+    with _ANALYSIS, _no_files(spark), _temp_views(spark, tables):
+        _check_tables(spark, checked, set(tables), run_id)
         return spark.sql(checked, args={"run_id": run_id})
 
 
+def _check_tables(spark: SparkSession, text: str, known: set[str], run_id: str) -> None:
+    """ValueError if the parsed text, subqueries included, names a table that is not given."""
+    plans = spark.sql("EXPLAIN EXTENDED " + text, args={"run_id": run_id}).first()[0]
+    parsed = plans.split("== Analyzed Logical Plan ==")[0]
+    for name in _RELATION.findall(parsed):
+        if name.lower() not in known:
+            raise ValueError(TABLE_ERROR.format(name=name))
+
+
+@contextmanager
+def _no_files(spark: SparkSession) -> Iterator[None]:
+    """Refuse paths in place of tables while a text is analyzed."""
+    before = spark.conf.get(_FILES)
+    spark.conf.set(_FILES, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FILES, before)
+
+
 @contextmanager
 def _temp_views(spark: SparkSession, tables: dict[str, DataFrame]) -> Iterator[None]:
     """Name the tables while a text is analyzed; put back the caller's views of the same names."""

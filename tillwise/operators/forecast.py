@@ -90,7 +90,9 @@ def forecast_models(sales: DataFrame, horizon_days: int = FORECAST_HORIZON, seri
         F.avg("revenue").alias("average"),
         F.sort_array(F.collect_list(F.when(recent, F.struct("Date", "revenue")))).alias("tail"),
     )
-    steps = F.sequence(F.lit(1), F.lit(horizon_days))
+    if horizon_days < 0:
+        raise ValueError("horizon_days must not be negative")
+    steps = F.slice(F.sequence(F.lit(1), F.lit(max(1, horizon_days))), 1, horizon_days)  # sequence(1, 0) counts down
     window = F.when(F.col("days") >= FORECAST_LONG_WINDOW, FORECAST_LONG_WINDOW).otherwise(FORECAST_SHORT_WINDOW)
     seed = F.col("seed")
 
@@ -101,6 +103,8 @@ def forecast_models(sales: DataFrame, horizon_days: int = FORECAST_HORIZON, seri
         return F.concat(values, F.array(mean))
 
     averaged = F.aggregate(steps, seed, next_value)
+    window_days = F.least(F.col("window"), F.size(seed))
+    recent_values = F.slice(seed, -window_days, window_days)
     line = F.transform(
         steps, lambda step: F.greatest(F.lit(0.0), F.col("slope") * (F.col("days") - 1 + step) + F.col("intercept"))
     )
@@ -113,6 +117,8 @@ def forecast_models(sales: DataFrame, horizon_days: int = FORECAST_HORIZON, seri
         "slope",
         "intercept",
         "average",
+        window_days.alias("window_days"),
+        (F.aggregate(recent_values, F.lit(0.0), lambda sofar, value: sofar + value) / window_days).alias("window_average"),
         F.slice(averaged, F.size(seed) + 1, F.lit(horizon_days)).alias("moving_average"),
         line.alias("line"),
     )
@@ -152,6 +158,8 @@ def _metrics(models: DataFrame) -> DataFrame:
         "slope",
         "intercept",
         F.col("average").alias("average_historical_daily"),
+        "window_days",
+        "window_average",
         summed("moving_average").alias("horizon_total_ma"),
         summed("line").alias("horizon_total_lr"),
     )

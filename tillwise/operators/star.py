@@ -13,8 +13,11 @@ from tillwise.functions.periods import month_label, month_start
 
 
 def product_key() -> Column:
-    """Key made from name and category, so facts get it without a join and every run gives the same one."""
-    part = lambda name: F.coalesce(F.concat(F.lit("="), F.col(name)), F.lit("-"))
+    """Key made from name and category, so facts get it without a join and every run gives the same one.
+
+    The length stands before each part, so no two pairs make the same text.
+    """
+    part = lambda name: F.coalesce(F.concat(F.length(name).cast("string"), F.lit("="), F.col(name)), F.lit("-"))
     return F.md5(F.concat(part("Product"), F.lit("|"), part("Category"))).alias("Product_ID")
 
 
@@ -96,10 +99,20 @@ def mom_growth(sales: DataFrame) -> DataFrame:
 
 
 def revenue_ytd(sales: DataFrame) -> DataFrame:
-    """Running revenue of the year for every calendar day. A window partition holds the days of one year."""
+    """Running revenue of the year for every calendar day. A window partition holds the days of one year.
+
+    Each day with sales also emits the empty days up to the next one, so the lines are read once.
+    """
     daily = sales.where(F.col("Date").isNotNull()).groupBy("Date").agg(F.sum("Revenue").alias("revenue"))
+    following = F.lead("Date").over(Window.orderBy("Date"))  # one row per calendar day
+    until = F.coalesce(F.date_sub(following, 1), "Date")
+    spread = daily.withColumn("until", until).select(
+        F.col("Date").alias("sold"), "revenue", F.explode(F.sequence("Date", "until")).alias("Date")
+    )
+    days = spread.select(
+        "Date", F.year("Date").alias("Year"), F.when(F.col("Date") == F.col("sold"), F.col("revenue")).alias("revenue")
+    )
     so_far = Window.partitionBy("Year").orderBy("Date").rowsBetween(Window.unboundedPreceding, 0)
-    days = dim_calendar(daily).select("Date", "Year").join(daily, "Date", "left")
     return days.select(
         "Date",
         F.coalesce("revenue", F.lit(0)).cast("double").alias("revenue"),

@@ -2,22 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tillwise.fixed_values import NULL_TOKENS
 from tillwise.functions.text import col
+from tillwise.operators.cleaning import standardize_column_names
+
+LINE = "line that does not fit"
+BAD_LINE = "A CSV line has more cells than the header, or a broken quote: "
 
 
 def load_data(spark: SparkSession, path: str | list[str], line_breaks_in_cells: bool = False) -> DataFrame:
     """Raw sales rows from files or folders with a header row.
 
-    Cells stay text (no inference pass over the files); texts that mean "no value" are null.
-    Large files are split over many tasks unless cells may hold line breaks; then a file is one task.
+    Cells stay text (no inference pass over the files); texts that mean "no value" are null. Large files are
+    split over many tasks unless cells may hold line breaks; then a file is one task.
+
+    Every path of a list is read by its own header, and the columns are put together by standard name. Files of one
+    folder must have one header; another one stops the job. So does a line with more cells than the header or
+    with a broken quote (such as a line break in a cell, if these are not asked for). A line with fewer cells has nulls at its end.
     """
-    raw = spark.read.csv(path, header=True, escape='"', multiLine=line_breaks_in_cells, encoding="UTF-8")
-    return raw.select(
-        *[F.when(~col(name).isin(NULL_TOKENS), col(name)).alias(name) for name in raw.columns]
+    parts = [_read(spark, one, line_breaks_in_cells) for one in ([path] if isinstance(path, str) else path)]
+    if any(part.columns != parts[0].columns for part in parts):
+        parts = [standardize_column_names(part) for part in parts]
+    return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), parts)
+
+
+def _read(spark: SparkSession, path: str, line_breaks_in_cells: bool) -> DataFrame:
+    options = {"header": True, "escape": '"', "multiLine": line_breaks_in_cells, "encoding": "UTF-8"}
+    header = spark.read.csv(path, **options)
+    # With pruned columns the parser would not see the surplus cells.
+    raw = spark.read.option("columnPruning", "false").csv(
+        path,
+        schema=StructType([*header.schema.fields, StructField(LINE, StringType())]),
+        columnNameOfCorruptRecord=LINE,
+        enforceSchema=len(header.inputFiles()) == 1,
+        **options,
     )
+    names = header.columns
+    # The message names a cell as well, because Spark refuses to read nothing but the line.
+    stop = F.raise_error(F.concat(F.lit(BAD_LINE), F.col(LINE), F.left(F.coalesce(col(names[0]), F.lit("")), F.lit(0))))
+    fits = raw.where(F.when(_does_not_fit(len(names)), stop.cast("boolean")).otherwise(F.lit(True)))
+    return fits.select(*[F.when(~col(name).isin(NULL_TOKENS), col(name)).alias(name) for name in names])
+
+
+def _does_not_fit(columns: int) -> Column:
+    """Whether the line kept by the reader is too long or has an open quote; lines that are only short are fine."""
+    unquoted = F.regexp_replace(F.col(LINE), r'"(?:[^"]|"")*"', "")
+    cells = F.length(unquoted) - F.length(F.translate(unquoted, ",", "")) + 1
+    return F.col(LINE).isNotNull() & ((cells > columns) | F.contains(unquoted, F.lit('"')))
 
 
 def write_csv(frame: DataFrame, path: str, mode: str = "errorifexists") -> None:
