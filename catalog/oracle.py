@@ -641,3 +641,6 @@ LEFT JOIN by_month a ON a.s = m LEFT JOIN by_month b ON b.s = m - INTERVAL 1 MON
     "star_measures": with_sales(f"SELECT {MEASURES} FROM sales"),
     "star_measures_by_product": with_sales(f"SELECT {PRODUCT_KEY} AS Product_ID, {MEASURES} FROM sales GROUP BY 1"),
 }
+
+# The same reports, read through a stored run.
+ORACLE |= {"stored_report": ORACLE["top_products"], "stored_adhoc": ORACLE["adhoc_sql"]}

@@ -267,22 +267,36 @@ def _fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tillwise-{name}-{uuid4()}"
 
 
-@query
-def kpi_history(spark: SparkSession, folder: str) -> DataFrame:
+def _stored(spark: SparkSession, folder: str) -> tuple[RunStore, str]:
     lines = sales_lines(spark, folder)
     store = RunStore(spark, _fresh(spark, "store"))
-    store.save(lines, kpis.calculate_kpis(lines), "sales lines")
+    return store, store.save(lines, kpis.calculate_kpis(lines), "sales lines")
+
+
+@query
+def kpi_history(spark: SparkSession, folder: str) -> DataFrame:
+    store, _ = _stored(spark, folder)
     return rounded(store.kpi_history().drop("created_at", "run_id"))
 
 
 @query
 def stored_sales(spark: SparkSession, folder: str) -> DataFrame:
-    lines = sales_lines(spark, folder)
-    store = RunStore(spark, _fresh(spark, "store"))
-    run_id = store.save(lines, kpis.calculate_kpis(lines), "sales lines")
+    store, run_id = _stored(spark, folder)
     return rounded(store.table("sales_data", run_id).drop("run_id"))
 
 
+@query
+def stored_report(spark: SparkSession, folder: str) -> DataFrame:
+    store, run_id = _stored(spark, folder)
+    return rounded(store.run_predefined_query(run_id, "top_products"))
+
+
+@query
+def stored_adhoc(spark: SparkSession, folder: str) -> DataFrame:
+    store, run_id = _stored(spark, folder)
+    return rounded(store.run_custom_query(run_id, ADHOC_SQL))
+
+
 @query
 def sales_json(spark: SparkSession, folder: str) -> DataFrame:
     lines = sales_lines(spark, folder)

@@ -150,3 +150,14 @@ def test_median_rounds_with_few_slices(spark, monkeypatch):
     values = [1e12, -1e12] + [0.1] * 40 + [0.2] * 41 + [3.5] * 2
     frame = spark.createDataFrame([(v,) for v in values], "v double")
     assert M.exact_medians(frame, {"v": F.col("v")})["v"] == statistics.median(values)
+
+
+def test_medians_only_when_asked_for(spark, monkeypatch):
+    source = raw(spark, [("2026-01-01", str(i), None if i % 4 == 0 else str(i * i)) for i in range(1, 200)], "Date", "Order_ID", "Quantity")
+    exact = clean_sales_data(source)
+    sketched = clean_sales_data(source, sketched_medians=True)
+    known = sorted(float(i * i) for i in range(1, 200) if i % 4)
+    assert exact.fills["Quantity"] == statistics.median(known)
+    assert sketched.fills["Quantity"] in known[len(known) // 2 - 1 : len(known) // 2 + 1]
+    monkeypatch.setattr("tillwise.operators.cleaning.exact_medians", lambda *_: pytest.fail("no median is needed"))
+    assert clean_sales_data(source).summary.first()["missing_values_before"] == 49

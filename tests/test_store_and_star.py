@@ -1,5 +1,6 @@
 import json
 from datetime import date
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tillwise.operators.profile import (
 )
 from tillwise.plans.analysis import analyze, ingest
 from tillwise.sources.csv_files import load_data, write_csv
+from tillwise.session import shared_dir
 from tillwise.sources.run_store import RunStore
 
 
@@ -120,6 +122,30 @@ def test_whole_job(spark, tmp_path):
     assert results.root_cause.summary.first()["status"] == "decline"
     assert results.forecast.rows.where("Type = 'Forecast'").count() == 5
     assert [r["rule_no"] for r in results.recommendations.collect()][0] == 3
+    staged = Path(done.area.path)
+    assert any(staged.iterdir()) and not any(staged.glob("unordered-*"))
+    done.close()
+    assert not staged.exists() and sales.count() == 16
+
+
+def test_a_failed_job_leaves_no_staged_tables(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("Date,Revenue\n2026-01-01,5\n")
+    (tmp_path / "store").write_text("no folder")
+    place = Path(shared_dir(spark).removeprefix("file:")) / "tillwise-stage"
+    before = set(place.glob("job-*"))
+    with pytest.raises(Exception):
+        ingest(spark, str(tmp_path / "in.csv"), str(tmp_path / "store"))
+    assert set(place.glob("job-*")) == before
+
+
+def test_unfinished_and_unknown_runs_are_empty(spark, sales, tmp_path):
+    store = RunStore(spark, str(tmp_path / "store"))
+    run_id = store.save(sales, K.calculate_kpis(sales), "sales.csv")
+    half = "00000000-0000-0000-0000-000000000001"
+    store._write("sales_data", half, store.table("sales_data", run_id).drop("run_id"))
+    for unknown in (half, "00000000-0000-0000-0000-000000000002", "*", ""):
+        assert store.table("sales_data", unknown).count() == 0
+    assert store.table("sales_data", run_id).count() == store.table("sales_data").count() == 6
 
 
 def test_profile(spark):

@@ -29,7 +29,7 @@ from tillwise.fixed_values import (
 from tillwise.functions.numbers import add_numbers
 from tillwise.functions.periods import parse_date
 from tillwise.functions.text import blank_to_null, col
-from tillwise.operators.medians import bounds_columns, exact_medians
+from tillwise.operators.medians import approximate_medians, bounds_columns, exact_medians
 from tillwise.operators.profile import build_column_report, group_copies, nan_to_null
 from tillwise.sources.staging import stage
 
@@ -46,17 +46,63 @@ ACTION_TYPE = "step long, column string, rows long, value double, message string
 
 @dataclass
 class CleanResult:
-    """Cleaned rows (unordered; see ``in_date_order``) and the reports about them."""
+    """Cleaned rows (unordered; see ``in_date_order``) and the reports about them.
 
-    cleaned: DataFrame
-    summary: DataFrame
-    actions: DataFrame
+    The counters are known from the start. Medians are computed when the rows or the log are first asked for.
+    """
+
+    rows: DataFrame  # distinct typed rows, with those that are dropped
+    names: list[str]
+    first: Row  # counters of the rows as they came
+    counters: Row  # counters of the distinct rows
     distinct_raw: DataFrame  # raw rows as staged, with their copies
     approximate: bool = False
+    sketched_medians: bool = False
+
+    @property
+    def _derived(self) -> bool:
+        return {"Revenue", "Cost", "Profit"} <= set(self.names)
+
+    @property
+    def _duplicates(self) -> int:
+        return self.first["rows"] - self.counters["distinct"]
+
+    @property
+    def _nulls_before(self) -> dict[str, int]:
+        return {name: self.first[f"nulls {place}"] for place, name in enumerate(self.names)}
+
+    @cached_property
+    def fills(self) -> dict[str, float]:
+        """The value that fills the gaps of a column; 0 where the column has no value at all."""
+        values = _median_values(self.names)
+        gaps = {name: value for name, value in values.items() if self.counters[f"missing {name}"]}
+        if self.sketched_medians:
+            medians = approximate_medians(self.rows, gaps)
+        else:
+            bounds = {name: tuple(self.counters[f"bounds of {name}"]) for name in gaps}
+            medians = exact_medians(self.rows, gaps, bounds)
+        return {name: 0.0 if median is None else float(median) for name, median in medians.items()}
+
+    @cached_property
+    def cleaned(self) -> DataFrame:
+        return _cleaned_rows(self.rows.where(_kept(self.names)), self.names, self.fills, self._derived)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        nulls_before = sum(self._nulls_before.values())
+        row = _summary(self.first, self.counters, nulls_before, self._duplicates, self.names)
+        return self.rows.sparkSession.createDataFrame([row], SUMMARY_TYPE)
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        log = _actions(self.counters, self._duplicates, self.names, self.fills, self._derived)
+        return self.rows.sparkSession.createDataFrame(log, ACTION_TYPE)
 
     @cached_property
     def column_report(self) -> DataFrame:
-        return build_column_report(self.distinct_raw, self.cleaned, self.approximate, weight=COPIES)
+        return build_column_report(
+            self.distinct_raw, self.cleaned, self.approximate, weight=COPIES, nulls_before=self._nulls_before
+        )
 
 
 def standardize_column_names(frame: DataFrame) -> DataFrame:
@@ -89,11 +135,15 @@ def order_keys(frame: DataFrame) -> list[str]:
 
 
 def clean_sales_data(
-    raw: DataFrame, date_formats: Sequence[str] = DATE_FORMATS, approximate: bool = False
+    raw: DataFrame,
+    date_formats: Sequence[str] = DATE_FORMATS,
+    approximate: bool = False,
+    sketched_medians: bool = False,
 ) -> CleanResult:
     """Clean raw rows.
 
-    ``approximate`` replaces the exact distinct counts of the column report by sketches.
+    ``approximate`` replaces the exact distinct counts of the column report by sketches, and ``sketched_medians`` the
+    exact medians that fill gaps (see ``approximate_medians`` for their error).
     """
     formats = tuple(date_formats)
     renamed = nan_to_null(standardize_column_names(raw))
@@ -103,7 +153,6 @@ def clean_sales_data(
     first = counters = rows.agg(*_raw_counters(renamed), *_clean_counters(rows, names)).first()
     if not first["rows"]:
         raise ValueError(EMPTY_INPUT)
-    nulls_before = sum(first[f"nulls {place}"] for place in range(len(names)))
 
     # A column of plain numbers is compared by value: 1 and 1.0 are the same cell.
     plain = [name for name in _text_numbers(renamed) if _has_spellings(first, name)]
@@ -113,23 +162,14 @@ def clean_sales_data(
         rows = _typed_rows(_stage_parsed(by_value, formats, "distinct-by-value"), names)
         counters = rows.agg(*_clean_counters(rows, names)).first()
 
-    derived = {"Revenue", "Cost", "Profit"} <= set(names)
-    values = _median_values(names)
-    gaps = {name: value for name, value in values.items() if counters[f"missing {name}"]}
-    medians = exact_medians(rows, gaps, {name: tuple(counters[f"bounds of {name}"]) for name in gaps})
-    fills = {name: 0.0 if median is None else float(median) for name, median in medians.items()}
-
-    cleaned = _cleaned_rows(rows.where(_kept(names)), names, fills, derived)
-    spark = raw.sparkSession
-    duplicates = first["rows"] - counters["distinct"]
-    summary = _summary(first, counters, nulls_before, duplicates, cleaned)
-    actions = _actions(counters, duplicates, cleaned, fills, derived)
     return CleanResult(
-        cleaned=cleaned,
-        summary=spark.createDataFrame([summary], SUMMARY_TYPE),
-        actions=spark.createDataFrame(actions, ACTION_TYPE),
+        rows=rows,
+        names=names,
+        first=first,
+        counters=counters,
         distinct_raw=staged.select(*[col(name) for name in names], COPIES),
         approximate=approximate,
+        sketched_medians=sketched_medians,
     )
 
 
@@ -269,8 +309,7 @@ def _cleaned_rows(rows: DataFrame, names: list[str], fills: dict[str, float], de
     return rows.select(*columns)
 
 
-def _summary(first: Row, counters: Row, nulls_before: int, duplicates: int, cleaned: DataFrame) -> tuple:
-    names = cleaned.columns
+def _summary(first: Row, counters: Row, nulls_before: int, duplicates: int, names: list[str]) -> tuple:
     # Every expected column is complete after cleaning; only extra columns can have gaps.
     nulls_after = sum(counters[f"missing {name}"] for name in names if name not in SALES_COLUMNS)
 
@@ -288,15 +327,15 @@ def _summary(first: Row, counters: Row, nulls_before: int, duplicates: int, clea
         nulls_after,
         score(first["rows"], nulls_before),
         score(counters["kept"], nulls_after),
-        _absent(cleaned),
+        _absent(names),
     )
 
 
-def _absent(cleaned: DataFrame) -> list[str]:
-    return [name for name in SALES_COLUMNS if name not in cleaned.columns]
+def _absent(names: list[str]) -> list[str]:
+    return [name for name in SALES_COLUMNS if name not in names]
 
 
-def _actions(counters: Row, duplicates: int, cleaned: DataFrame, fills: dict[str, float], derived: bool) -> list[tuple]:
+def _actions(counters: Row, duplicates: int, names: list[str], fills: dict[str, float], derived: bool) -> list[tuple]:
     """Log entries (step, column, rows, value, message) for every rule that changed something."""
     log: list[tuple] = []
 
@@ -308,11 +347,11 @@ def _actions(counters: Row, duplicates: int, cleaned: DataFrame, fills: dict[str
 
     if duplicates:
         add("duplicates", rows=duplicates)
-    if "Date" not in cleaned.columns:
+    if "Date" not in names:
         add("no_date", "Date")
     elif counters["distinct"] > counters["kept"]:
         add("dates", "Date", counters["distinct"] - counters["kept"])
-    for name in (name for name in NUMERIC_COLUMNS if name in cleaned.columns):
+    for name in (name for name in NUMERIC_COLUMNS if name in names):
         missing = counters[f"missing {name}"]
         if name in UNSIGNED_COLUMNS and counters[f"negative {name}"]:
             add("negatives", name, counters[f"negative {name}"])
@@ -320,9 +359,9 @@ def _actions(counters: Row, duplicates: int, cleaned: DataFrame, fills: dict[str
             add("profit", name, missing)
         elif missing:
             add("median", name, missing, fills[name])
-    for name in (name for name in TEXT_COLUMNS if name in cleaned.columns):
+    for name in (name for name in TEXT_COLUMNS if name in names):
         if counters[f"missing {name}"]:
             add("text", name, counters[f"missing {name}"])
-    if _absent(cleaned):
-        add("columns", columns=", ".join(_absent(cleaned)))
+    if _absent(names):
+        add("columns", columns=", ".join(_absent(names)))
     return log

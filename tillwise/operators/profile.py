@@ -100,11 +100,16 @@ def quality_score(frame: DataFrame) -> DataFrame:
 
 
 def build_column_report(
-    before: DataFrame, after: DataFrame, approximate: bool = False, weight: str | None = None
+    before: DataFrame,
+    after: DataFrame,
+    approximate: bool = False,
+    weight: str | None = None,
+    nulls_before: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row per column of either frame: type, nulls before and after, distinct values after.
 
-    ``weight`` names a column of ``before`` that counts the copies of each row.
+    ``weight`` names a column of ``before`` that counts the copies of each row. With ``nulls_before``, the null counts of
+    its columns by name, ``before`` is not read.
     """
     before, after = nan_to_null(before), nan_to_null(after)
     times = F.col(weight) if weight else F.lit(1)
@@ -115,12 +120,16 @@ def build_column_report(
     def entries(cells: list[list[Column]], fields: list[str]) -> Column:
         return F.array(*[F.struct(*[c.alias(f) for c, f in zip(cell, fields)]) for cell in cells])
 
-    nulls = before.agg(
-        *[F.coalesce(F.sum(F.when(col(n).isNull(), times)), F.lit(0)).alias(f"m{i}") for i, n in enumerate(old)]
-    )
-    nulls = nulls.select(
-        F.inline(entries([[F.lit(n), F.col(f"m{i}")] for i, n in enumerate(old)], ["Column", "Missing Before"]))
-    )
+    if nulls_before is None:
+        nulls = before.agg(
+            *[F.coalesce(F.sum(F.when(col(n).isNull(), times)), F.lit(0)).alias(f"m{i}") for i, n in enumerate(old)]
+        )
+        nulls = nulls.select(
+            F.inline(entries([[F.lit(n), F.col(f"m{i}")] for i, n in enumerate(old)], ["Column", "Missing Before"]))
+        )
+    else:
+        known = [(name, nulls_before[name]) for name in old]
+        nulls = after.sparkSession.createDataFrame(known, "Column string, `Missing Before` long")
     facts = after.agg(
         *[F.count_if(col(n).isNull()).alias(f"m{i}") for i, n in enumerate(after.columns)],
         *[distinct(col(n)).alias(f"d{i}") for i, n in enumerate(after.columns)],

@@ -16,13 +16,26 @@ from tillwise.operators.root_cause import RootCause, analyze_root_cause
 from tillwise.operators.trends import Trends, calculate_trends
 from tillwise.sources.csv_files import load_data
 from tillwise.sources.run_store import RunStore
+from tillwise.sources.staging import StageArea
 
 
 @dataclass
 class Ingested:
+    """A stored run. Its reports read staged tables until ``close``, or the end of a ``with`` block, deletes these."""
+
     run_id: str
     quality: CleanResult
     kpis: DataFrame
+    area: StageArea
+
+    def close(self) -> None:
+        self.area.close()
+
+    def __enter__(self) -> Ingested:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
 
 
 @dataclass
@@ -40,11 +53,14 @@ def ingest(
     source_name: str | None = None,
     date_formats: Sequence[str] = DATE_FORMATS,
 ) -> Ingested:
-    """CSV files to a stored run."""
-    quality = clean_sales_data(load_data(spark, csv_path), date_formats)
-    kpis = calculate_kpis(quality.cleaned)
-    run_id = RunStore(spark, store_path).save(quality.cleaned, kpis, source_name or csv_path)
-    return Ingested(run_id, quality, kpis)
+    """CSV files to a stored run. The result owns the staged tables; a failure deletes them."""
+    area = StageArea(spark)
+    with area.collecting():
+        quality = clean_sales_data(load_data(spark, csv_path), date_formats)
+        kpis = calculate_kpis(quality.cleaned)
+        store = RunStore(spark, store_path)
+        run_id = store.save(quality.cleaned, kpis, source_name or csv_path, written=True)
+    return Ingested(run_id, quality, kpis, area)
 
 
 def analyze(

@@ -8,8 +8,9 @@ disturb each other.
 from __future__ import annotations
 
 from datetime import datetime, timezone
-from uuid import uuid4
+from uuid import UUID, uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillwise.fixed_values import SALES_COLUMNS
@@ -68,19 +69,34 @@ class RunStore:
     def _write(self, name: str, run_id: str, rows: DataFrame) -> None:
         rows.write.mode("errorifexists").parquet(f"{self.path}/{name}/run_id={run_id}")
 
-    def save(self, cleaned: DataFrame, kpis: DataFrame, source_name: str) -> str:
-        """Store cleaned rows in date order, the KPIs and the run itself; returns the new run id."""
+    def _read_run(self, name: str, run_id: str) -> DataFrame:
+        """Rows of one run, without listing the folders of the others; none if it has no folder."""
+        path, kinds = f"{self.path}/{name}", f"run_id string, {TABLES[name]}"
+        try:
+            return self.spark.read.schema(kinds).option("basePath", path).parquet(f"{path}/run_id={UUID(run_id)}")
+        except ValueError:  # not an id that this store gives
+            return self.spark.createDataFrame([], kinds)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], kinds)
+
+    def save(self, cleaned: DataFrame, kpis: DataFrame, source_name: str, written: bool = False) -> str:
+        """Store cleaned rows in date order, the KPIs and the run itself; returns the new run id.
+
+        ``written`` says that ``cleaned`` only selects from a written table, as the result of cleaning does.
+        """
         self.initialize()
         run_id = str(uuid4())
         kpis = stage(kpis, "kpis")
-        numbered = number_rows(cleaned, order_keys(cleaned))
+        numbered = number_rows(cleaned, order_keys(cleaned), written=written)
         self._write("sales_data", run_id, numbered.select("row_number", *typed_sales(numbered)))
         self._write(
             "cleaned_sales", run_id, numbered.select("row_number", sales_record(cleaned.columns).alias("sales_record"))
         )
         results = kpis_to_dataframe(kpis).toDF("kpi_name", "kpi_value", "unit")
         self._write("kpi_results", run_id, results.coalesce(1))
-        stored = self._read("sales_data").where(F.col("run_id") == run_id).agg(F.count("*"))
+        stored = self._read_run("sales_data", run_id).agg(F.count("*"))
         run = kpis.select(
             F.lit(datetime.now(timezone.utc)).alias("created_at"),
             F.lit(source_name).alias("source_name"),
@@ -92,16 +108,15 @@ class RunStore:
         return run_id
 
     def table(self, name: str, run_id: str | None = None) -> DataFrame:
-        """Rows of finished runs, or of one finished run (a partition-pruned scan)."""
+        """Rows of finished runs, or of one finished run (only its own folders are read)."""
         self.initialize()
-        runs, rows = self._read("kpi_runs"), self._read(name)
         if run_id is not None:
-            rows = rows.where(F.col("run_id") == run_id)
-            done = not runs.where(F.col("run_id") == run_id).isEmpty()
-            return rows if done else rows.where(F.lit(False))
+            rows = self._read_run(name, run_id)
+            return rows.where(F.lit(False)) if self._read_run("kpi_runs", run_id).isEmpty() else rows
+        rows = self._read(name)
         if name == "kpi_runs":
             return rows
-        return rows.join(runs.select("run_id"), "run_id", "left_semi")
+        return rows.join(self._read("kpi_runs").select("run_id"), "run_id", "left_semi")
 
     def kpi_history(self) -> DataFrame:
         """All stored KPI values, the newest run first."""

@@ -7,17 +7,55 @@ pass reads only the columns it needs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tillwise.session import shared_dir
 
+_folder: ContextVar[str | None] = ContextVar("folder of the open stage area", default=None)
+
+
+class StageArea:
+    """One folder for the tables that a job stages, deleted with them by ``close``.
+
+    Frames that read the tables are of no use afterwards.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/tillwise-stage/job-{uuid4()}"
+
+    @contextmanager
+    def collecting(self) -> Iterator[None]:
+        """What is staged inside the block, by whichever operator, goes to this folder; a failure closes it."""
+        before = _folder.set(self.path)
+        try:
+            yield
+        except BaseException:
+            self.close()
+            raise
+        finally:
+            _folder.reset(before)
+
+    def close(self) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+    def __enter__(self) -> StageArea:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
 
 def stage(frame: DataFrame, name: str) -> DataFrame:
     """Write the frame below ``spark.checkpoint.dir`` and return a reader of the files."""
     spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/tillwise-stage/{name}-{uuid4()}"
+    path = f"{_folder.get() or shared_dir(spark) + '/tillwise-stage'}/{name}-{uuid4()}"
     # Column names come from user files and may hold characters Parquet readers dislike.
     plain = [f"c{place}" for place in range(len(frame.columns))]
     frame.toDF(*plain).write.parquet(path)
