@@ -30,7 +30,7 @@ def corpus() -> list[tuple]:
     rows = []
     for k, text in enumerate(texts):
         source = [None, "", "src0", "src0", "src0", "src1", "Src2", "é"][k % 8]
-        lang = None if k % 7 == 0 else ("en" if k % 3 else "de")
+        lang = None if k % 7 == 0 else "de" if text and ("ung" in text or "sch" in text) else "en"
         rows.append((k, text, lang, source, None if text is None else len(text)))
     rows += [rows[3], rows[3], (None, texts[5], "en", "src0", 1), (None, None, None, None, None), (500, texts[7] + "!", "en", None, 2)]
     return [(*row, "r", 1, "w", "d", "z", "h", "x", 2, "s", 3) for row in rows]
