@@ -8,6 +8,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillwise.llm import language_id, mixing, packing, simhash_dedup, substring_dedup
+from tillwise.llm.common import parts_for
 from tillwise.llm.queries import vocabulary
 from tillwise.session import shared_dir
 
@@ -16,6 +17,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: A text this far from every language profile (1: in perfect order, 0: nothing in common) is in no known language.
 LEAST_SCORE = 0.2
 
+#: The mix draws about as many documents as there are; whole shards are dealt to files of about this many.
+DOCS_A_FILE = 20_000
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or far from all languages go; profiles are learned from documents not held out."""
@@ -38,8 +42,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them; a document drawn in part is cut to its first words."""
-    drawn = mixing.mix(docs, docs.columns)
+    """Documents as often as the mix draws them, shard by shard; one drawn in part is cut to its first words."""
+    drawn = mixing.in_order(mixing.mix(docs, docs.columns), parts_for(docs.count(), DOCS_A_FILE, 8))
     part = F.col("words") < F.col("size")
     text = F.when(part, mixing.first_words("row.text", "words")).otherwise(F.col("row.text"))
     return _with_text(docs, drawn, text, part)

@@ -94,6 +94,25 @@ def test_draws_lie_end_to_end_on_the_line_of_their_source(docs):
     assert mixed.select("shard").distinct().count() > 10
 
 
+def test_every_draw_has_a_place_in_its_shard(docs, rows):
+    mixed = M.mix(docs, ["doc_id", "text"], block_words=50, blocks_per_shard=4, undrawn=True)
+    turns = {}
+    for r in mixed.where("shard is not null").collect():
+        turns.setdefault((r.row, r.shard), []).append(r.turn)
+    found, shards = M.taken(mixed).collect(), defaultdict(dict)
+    assert len(found) == len(rows)
+    for row in found:
+        assert len(row.shard) == len(row.place) and bool(row.shard) == (row.taken > 0)
+        for shard, place in zip(row.shard, row.place):
+            assert place not in shards[shard]
+            shards[shard][place] = row.row
+    assert len(shards) > 10 and sum(map(len, shards.values())) == sum(map(len, turns.values()))
+    for shard, own in shards.items():
+        assert sorted(own) == list(range(len(own)))
+        order = [min(turns[own[k], shard]) for k in range(len(own)) if len(turns[own[k], shard]) == 1]
+        assert order == sorted(order)
+
+
 def test_sharing_with_limits():
     assert M.share([], [], 3) == []
     assert M.share([0, 0], [5, 2], 3) == [0.0, 0.0]

@@ -1,5 +1,6 @@
 import re
 
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline as C
@@ -83,6 +84,24 @@ def test_mixing_stage_repeats_and_cuts_documents(stages):
     assert words == {doc: n for doc, n in taken.items() if n}
 
 
+def test_mixing_stage_is_written_shard_by_shard(spark, docs, tmp_path, monkeypatch):
+    small = {"block_words": 50, "blocks_per_shard": 4}
+    drawn = mixing.mix(docs, docs.columns, **small)
+    shards = {}
+    for r in drawn.orderBy("shard", "turn").collect():
+        shards.setdefault(r.shard, []).append((r.row.doc_id, r.words))
+    assert len(shards) > 10
+    mix = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda docs, keep: mix(docs, keep, **small))
+    C.mixing_stage(spark, docs, "").write.parquet(str(tmp_path / "mixed"))
+    for file in (tmp_path / "mixed").glob("*.parquet"):
+        own = [(r["doc_id"], len(WORD.findall(r["text"].encode()))) for r in pq.read_table(file).to_pylist()]
+        while own:  # whole shards, one after the other
+            shard = max((s for s in shards if shards[s] == own[: len(shards[s])]), key=lambda s: len(shards[s]))
+            own = own[len(shards.pop(shard)) :]
+    assert not shards
+
+
 def test_packing_stage_packs_what_the_mix_holds(stages):
     pieces = stages["packing"].collect()
     assert {p.doc_id for p in pieces} == {doc for doc, _ in rows(stages["mixing"])}

@@ -10,7 +10,8 @@ Method
     Tree        The block quotas of all sources are split among the output shards by recursive halving: how many blocks
                 of each source go left is drawn from the multivariate hypergeometric distribution, seeded by the node. A
                 shard takes the next blocks of every source in permuted order, so shards are disjoint and quotas exact.
-    Shuffle     Inside a shard documents are ordered by a seeded hash.
+    Shuffle     Inside a shard documents are ordered by a seeded hash. ``in_order`` writes the mix that way, and
+                ``with_places`` numbers the draws of a shard in that order.
 
 Scale
     The driver holds one number per source. Positions come from sums over hash ranges of a source, then running sums
@@ -183,9 +184,22 @@ def mix(
     )
 
 
+#: The order of the draws; equal turns are told apart by the place on the line of the source.
+ORDER = ("shard", "turn", "source_no", "start", "pass")
+
+
 def in_order(mixed: DataFrame, partitions: int) -> DataFrame:
     """The mix as it is written: every shard whole in one partition, its documents in their shuffled order."""
-    return mixed.repartition(partitions, "shard").sortWithinPartitions("shard", "turn")
+    return mixed.repartition(partitions, "shard").sortWithinPartitions(*ORDER)
+
+
+def with_places(mixed: DataFrame) -> DataFrame:
+    """``place``: where a draw stands in its shard, from 0; null for a document that is never drawn."""
+    # Shards are of one size. Documents without a shard stay with those they are read with, and have no place.
+    undrawn = F.col("shard").isNull()
+    marked = mixed.withColumn("read_with", F.when(undrawn, F.spark_partition_id()))
+    place = F.row_number().over(Window.partitionBy("shard", "read_with").orderBy(*ORDER[1:])).cast("long") - 1
+    return marked.withColumn("place", F.when(~undrawn, place)).drop("read_with")
 
 
 def first_words(text: str, words: str):
@@ -195,14 +209,27 @@ def first_words(text: str, words: str):
 
 
 def taken(mixed: DataFrame) -> DataFrame:
-    """One row per document of a mix with undrawn documents: ``row, size, source_size, target, taken``."""
+    """One row per document of a mix with undrawn documents.
+
+    ``row, size, source_size, target, taken``, and of each of its draws, in the order of the passes, the ``shard`` and
+    the ``place`` in the shard.
+    """
+    draw = F.when(F.col("shard").isNotNull(), F.struct("pass", "shard", "place"))
     # A document with words is alone at its place; those without have one row each and are counted.
-    grouped = mixed.groupBy("source_no", "start", "size", "row").agg(
+    grouped = with_places(mixed).groupBy("source_no", "start", "size", "row").agg(
         F.first("source_size").alias("source_size"),
         F.first("target").alias("target"),
         F.sum("words").alias("taken"),
+        F.sort_array(F.collect_list(draw)).alias("draws"),  # at most one a pass
         F.when(F.col("size") == 0, F.count("*")).otherwise(1).cast("int").alias("copies"),
     )
     return grouped.select(
-        "row", "size", "source_size", "target", "taken", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
+        "row",
+        "size",
+        "source_size",
+        "target",
+        "taken",
+        F.col("draws.shard").alias("shard"),
+        F.col("draws.place").alias("place"),
+        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
     ).drop("copy")

@@ -55,7 +55,7 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     drawn = mixing.mix(docs, ["doc_id"], undrawn=True)
-    return mixing.taken(drawn).select("row.doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken(drawn).select("row.doc_id", "size", "source_size", "target", "taken", "shard", "place")
 
 
 @query
