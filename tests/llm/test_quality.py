@@ -71,6 +71,20 @@ def test_model_separates_two_kinds_of_documents():
     assert Q.LabelModel([], 3).posterior((0, 0, 0)) == 0.5
 
 
+def test_a_rule_that_misfires_is_outvoted():
+    import random
+
+    rng, patterns = random.Random(3), Counter()
+    for _ in range(20_000):
+        good = rng.random() < 0.9
+        right = [0.96, *[0.999] * 5] if good else [0.5] * 6
+        patterns[tuple(1 if rng.random() < p else -1 for p in right)] += 1
+    model = Q.LabelModel(sorted(patterns.items()), 6)
+    assert abs(model.good[0] - 0.96) < 0.01 and all(g > 0.99 for g in model.good[1:])
+    assert model.posterior((-1, 1, 1, 1, 1, 1)) >= 0.5  # one bad vote, by the rule that is often wrong
+    assert model.posterior((-1, -1, 1, -1, 1, 1)) < 0.5
+
+
 def test_likelihood_does_not_fall_with_more_rounds():
     import math
 

@@ -5,7 +5,8 @@ Method
     set by hand: expectation-maximisation over the vote patterns of the whole corpus estimates, for good and for bad
     documents, how often each rule gives each vote, together with the share of good documents. The posterior
     probability that a document is good, given its votes, replaces the usual demand that it pass every rule.
-    Abstaining carries no evidence. The first guess is a majority of the votes, so that the classes keep their meaning.
+    Abstaining carries no evidence. The first guess believes in documents without a bad vote, so that the classes keep
+    their meaning; it only starts the estimation, which then lets a rule that often misfires be outvoted by the others.
 
 Scale
     All counts come from array functions inside a row; nothing is exploded or shuffled but vote patterns, of which there are
@@ -29,9 +30,6 @@ GOOD, BAD, ABSTAIN = 1, -1, 0
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 
-#: Least share of good documents on which a rule that votes is right; the bounds below are set that wide.
-PRECISION = 0.995
-
 #: Rules: name, ratio, and two pairs of bounds: a ratio inside the first votes good, one outside the second votes bad.
 #: A ratio without a denominator is null, which abstains.
 RULES: list[tuple[str, str, tuple[float, float], tuple[float, float]]] = [
@@ -118,7 +116,7 @@ class LabelModel:
 
     def __init__(self, patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 100):
         self.share, self.good, self.bad = 0.5, [0.5] * rules, [0.5] * rules
-        believed = [self._majority(votes) for votes, _ in patterns]
+        believed = [self._first_guess(votes) for votes, _ in patterns]
         for _ in range(rounds if patterns else 0):
             # Half a vote of each kind is added, so that no probability becomes 0 or 1.
             total = sum(n for _, n in patterns)
@@ -127,7 +125,7 @@ class LabelModel:
                 given = [(p, v[rule], n) for p, (v, n) in zip(believed, patterns) if v[rule] != ABSTAIN]
                 yes = sum(p * n for p, v, n in given if v == GOOD) + 0.5
                 no = sum(p * n for p, v, n in given if v == BAD) + 0.5
-                self.good[rule] = max(yes / (yes + no), PRECISION)
+                self.good[rule] = yes / (yes + no)
                 yes = sum((1 - p) * n for p, v, n in given if v == GOOD) + 0.5
                 no = sum((1 - p) * n for p, v, n in given if v == BAD) + 0.5
                 # A good vote is never evidence against a document: the rules are better than chance.
@@ -137,8 +135,8 @@ class LabelModel:
                 break
 
     @staticmethod
-    def _majority(votes: tuple[int, ...]) -> float:
-        """First guess: the votes for good, where one vote for bad outweighs all others."""
+    def _first_guess(votes: tuple[int, ...]) -> float:
+        """First guess, before any rule's accuracy is known: one vote for bad outweighs all others."""
         bad = sum(v == BAD for v in votes)
         return 0.9 if not bad else 0.5 ** (2 * bad)
 
