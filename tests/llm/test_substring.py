@@ -38,6 +38,17 @@ def test_matches_the_definition(docs, rows):
     assert set(found.schema["row"].dataType.names) == set(docs.columns) - {"text"}
 
 
+def test_rows_without_an_id_or_with_one_id_do_not_share_cuts(spark):
+    texts = [" ".join(f"{name}{k}" for k in range(150)) for name in "abcde"]
+    a, b, c, d, e = texts
+    half = " ".join(c.split()[:75])
+    rows = [(5, c), (None, a), (None, f"{half} {d}"), (7, e), (7, f"{half} {a}"), (7, e), (8, e)] + [(None, b)] * 4
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((r.row.doc_id or -1, r.n_words, r.n_removed) for r in S.remove_repeats(frame).collect())
+    bare = [(-1, 150, 0), (-1, 225, 0), (-1, 150, 0), *[(-1, 150, 150)] * 3]
+    assert found == sorted(bare + [(5, 150, 75), (7, 150, 0), (7, 150, 0), (7, 225, 225), (8, 150, 150)])
+
+
 def test_short_windows_and_small_slices(docs, rows, monkeypatch):
     few = [row for row in rows if len(row[1] or "") < 5000]
     small = docs.where("text is null or length(text) < 5000")

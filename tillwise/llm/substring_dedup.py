@@ -1,7 +1,7 @@
 """Substring deduplication by relative Lempel-Ziv parsing against an index of all reference blocks.
 
-Every window of ``window`` words that also starts earlier (smaller id, or same document and earlier start) is found and
-the words it covers are cut out.
+Every window of ``window`` words that also starts earlier (in an earlier document, or in the same one at an earlier
+start) is found and the words it covers are cut out. Documents stand in the order of ``doc_id``, then ``version``.
 
 Method
     Blocks      Of the word grams in a window, the smallest hash is the window's anchor. Consecutive windows with one
@@ -12,17 +12,20 @@ Method
                 block is matched at its full length.
     Boundaries  At the ends of a factor blocks agree only in part. Blocks that share their anchor with a block of other
                 content (and blocks that repeat inside themselves) are checked window by window, on both sides.
+    Versions    Rows that share an id differ in the hash of their text. Rows without an id, which nothing else tells apart,
+                are numbered in the order of their text and columns; for that they alone are written and sorted.
     Cut         A document's factors and single windows are laid over its words; covered words go.
 
 Scale
-    About one block per eight words is shuffled, as four numbers. Inside a slice of documents copies are settled before
+    About one block per eight words is shuffled, as five numbers. Inside a slice of documents copies are settled before
     the shuffle, and an anchor with several contents is dealt out by content, with one marker row per slice under
     the anchor itself. A passage that stands in a third of all documents thus adds one row per slice to its group,
     never one per document. Texts are shuffled twice, compressed. Nothing is broadcast or collected.
 
 Defined results: null and empty texts have no words and stay as they are; texts shorter than a window keep all words;
-rows that share a ``doc_id`` are taken as versions of one document, so neither repeats the other at the same start, and
-a window that repeats in one is cut in all; a null id sorts before all others; an empty table gives no rows.
+rows that share a ``doc_id`` and the text are one document, so neither repeats the other; those that share only the id
+are documents of their own, in the order of their text's hash; so is every row with a null id, which sorts before all
+others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tillwise.llm.common import NULL_ID, byte_rows, slices
+from tillwise.operators.numbering import number_rows
 from tillwise.sources.staging import stage
 
 GRAM = 6
@@ -136,26 +140,44 @@ def _pack(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def _rows(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    key, content, doc, at, tag = (np.concatenate(column) for column in zip(*parts))
+    key, content, doc, version, at, tag = (np.concatenate(column) for column in zip(*parts))
     return pa.RecordBatch.from_arrays(
         [
             pa.array(key.view(np.int64)),
             pa.array(content.view(np.int64), mask=tag == MARKER),
             pa.array(doc),
+            pa.array(version),
             pa.array(at),
             pa.array(tag.astype(np.int32)),
         ],
-        ["key", "content", "doc", "at", "tag"],
+        ["key", "content", "doc", "version", "at", "tag"],
     )
 
 
-def _block_rows(ids: np.ndarray, texts: list[bytes | None], window: int) -> pa.RecordBatch:
+def _ranks(ids: np.ndarray, versions: np.ndarray) -> np.ndarray:
+    """Places of the rows in the order of documents; rows of one document share theirs."""
+    order = np.lexsort([versions, ids])
+    new = np.zeros(len(order), np.int64)
+    new[1:] = (ids[order][1:] != ids[order][:-1]) | (versions[order][1:] != versions[order][:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _spread(doc: np.ndarray, version: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Keys that deal out rows which need no group."""
+    return _mix(at.view(np.uint64) ^ _mix(version.view(np.uint64) ^ doc.view(np.uint64)))
+
+
+def _block_rows(ids: np.ndarray, versions: np.ndarray, texts: list[bytes | None], window: int) -> pa.RecordBatch:
     """The blocks of a slice of documents as rows to be grouped; see the module text."""
     hashes = WordHashes(texts)
     blocks = _blocks(hashes, window)
-    doc, start = ids[blocks["doc"]], blocks["start"] - hashes.begins[blocks["doc"]]
+    doc, version = ids[blocks["doc"]], versions[blocks["doc"]]
+    start = blocks["start"] - hashes.begins[blocks["doc"]]
     at = _pack(start, blocks["length"])
-    order, lead, later = _repeats([blocks["anchor"], blocks["content"]], doc, start)
+    rank = _ranks(ids, versions)[blocks["doc"]]
+    order, lead, later = _repeats([blocks["anchor"], blocks["content"]], rank, start)
     anchors, group = np.unique(blocks["anchor"][order[lead]], return_inverse=True)
     several = np.bincount(group, minlength=len(anchors)) > 1
     np.logical_or.at(several, group, blocks["loops"][order[lead]])
@@ -171,16 +193,26 @@ def _block_rows(ids: np.ndarray, texts: list[bytes | None], window: int) -> pa.R
                 np.where(forced, content[heads], blocks["anchor"][heads]),
                 content[heads],
                 doc[heads],
+                version[heads],
                 at[heads],
                 np.where(forced, FORCED, PLAIN),
             ),
-            (marked, marked, zeros(len(marked)), zeros(len(marked)), np.full(len(marked), MARKER)),
-            (_mix(at[gone].view(np.uint64) ^ doc[gone].view(np.uint64)), content[gone], doc[gone], at[gone], np.full(len(gone), REPEAT)),
+            (marked, marked, *[zeros(len(marked))] * 3, np.full(len(marked), MARKER)),
+            (
+                _spread(doc[gone], version[gone], at[gone]),
+                content[gone],
+                doc[gone],
+                version[gone],
+                at[gone],
+                np.full(len(gone), REPEAT),
+            ),
         ]
     )
 
 
-def _window_rows(ids: np.ndarray, texts: list[bytes | None], places: list[np.ndarray], window: int) -> pa.RecordBatch:
+def _window_rows(
+    ids: np.ndarray, versions: np.ndarray, texts: list[bytes | None], places: list[np.ndarray], window: int
+) -> pa.RecordBatch:
     """The single windows at the given places, as rows to be grouped by content."""
     hashes = WordHashes(texts)
     length = [p & ((1 << LENGTH_BITS) - 1) for p in places]
@@ -188,9 +220,9 @@ def _window_rows(ids: np.ndarray, texts: list[bytes | None], places: list[np.nda
     start = [np.unique(s[(s >= 0) & (s + window <= n)]) for s, n in zip(start, hashes.counts)]
     number = np.repeat(np.arange(len(start)), [len(s) for s in start])
     start = np.concatenate([*start, np.zeros(0, np.int64)]).astype(np.int64)
-    doc, first = ids[number], start + hashes.begins[number]
+    doc, version, first = ids[number], versions[number], start + hashes.begins[number]
     content = hashes.span(first, first + window)
-    order, lead, later = _repeats([content], doc, start)
+    order, lead, later = _repeats([content], _ranks(ids, versions)[number], start)
     heads, gone = order[lead], order[later]
     # Repeats that follow each other are given as one place.
     gone = gone[np.lexsort([start[gone], number[gone]])]
@@ -202,8 +234,22 @@ def _window_rows(ids: np.ndarray, texts: list[bytes | None], places: list[np.nda
     gone = gone[begin]
     return _rows(
         [
-            (content[heads], content[heads], doc[heads], _pack(start[heads], np.ones(len(heads))), np.full(len(heads), FORCED)),
-            (_mix(at.view(np.uint64) ^ doc[gone].view(np.uint64)), content[gone], doc[gone], at, np.full(len(gone), REPEAT)),
+            (
+                content[heads],
+                content[heads],
+                doc[heads],
+                version[heads],
+                _pack(start[heads], np.ones(len(heads))),
+                np.full(len(heads), FORCED),
+            ),
+            (
+                _spread(doc[gone], version[gone], at),
+                content[gone],
+                doc[gone],
+                version[gone],
+                at,
+                np.full(len(gone), REPEAT),
+            ),
         ]
     )
 
@@ -227,16 +273,17 @@ def _cut(text: bytes, covered: np.ndarray) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-ROWS = "key long, content long, doc long, at long, tag int"
+ROWS = "key long, content long, doc long, version long, at long, tag int"
+DOC = ["doc", "version"]
 
 
 def _judge(rows: DataFrame) -> DataFrame:
-    """Rows as ``(doc, at, repeat)``: repeats, and the first of each content where windows have to be checked."""
-    same = Window.partitionBy("key", "content").orderBy("doc", "at")
+    """Rows as ``(doc, version, at, repeat)``: repeats, and the first of each content where windows have to be checked."""
+    same = Window.partitionBy("key", "content").orderBy(*DOC, "at")
     group = Window.partitionBy("key")
-    place = F.struct("doc", "at")
+    place = F.struct(*DOC, "at")
     judged = rows.select(
-        "doc",
+        *DOC,
         "at",
         "tag",
         ((F.col("tag") == REPEAT) | (place > F.first(place).over(same))).alias("repeat"),
@@ -245,30 +292,34 @@ def _judge(rows: DataFrame) -> DataFrame:
             | (F.min("content").over(group) < F.max("content").over(group))
         ).alias("check"),
     )
-    return judged.where((F.col("tag") != MARKER) & (F.col("repeat") | F.col("check"))).select("doc", "at", "repeat")
+    return judged.where((F.col("tag") != MARKER) & (F.col("repeat") | F.col("check"))).select(*DOC, "at", "repeat")
+
+
+def _keyed(docs: DataFrame, text_column: str) -> DataFrame:
+    """``row`` (all other columns), ``doc`` and ``version`` (the key of the document) and ``text``."""
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_column]).alias("row")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), others, F.col(f"`{text_column}`").alias("text"))
+    named = rows.where("doc is not null").select("row", "doc", F.xxhash64("text").alias("version"), "text")
+    bare = rows.where("doc is null").select(F.xxhash64("text").alias("h"), F.xxhash64("row").alias("other"), "row", "text")
+    numbered = number_rows(bare, ["h", "other"], "version")
+    return named.unionByName(numbered.select("row", F.lit(NULL_ID).alias("doc"), "version", "text"))
 
 
-def _packed(docs: DataFrame, text_column: str) -> DataFrame:
-    """``row`` (all other columns), ``doc`` (the id) and ``z`` (the text, compressed for the shuffle)."""
+def _packed(keyed: DataFrame) -> DataFrame:
+    """The documents with ``z`` (the text, compressed for the shuffle) in place of the text."""
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            z = [None if text is None else packer.compress(text) for text in byte_rows(batch.column(2))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["row", "doc", "z"]
-            )
+            z = [None if text is None else packer.compress(text) for text in byte_rows(batch.column(len(others)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], pa.array(z, pa.binary())], [*others, "z"])
 
-    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_column]).alias("row")
-    rows = docs.select(others, _doc_key(), F.col(f"`{text_column}`").alias("text"))
-    kinds = T.StructType([rows.schema["row"], T.StructField("doc", T.LongType()), T.StructField("z", T.BinaryType())])
+    others = [c for c in keyed.columns if c != "text"]
+    rows = keyed.select(*others, "text")
+    kinds = T.StructType([*[rows.schema[c] for c in others], T.StructField("z", T.BinaryType())])
     return rows.mapInArrow(compress, kinds)
 
 
-def _doc_key():
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc")
-
-
 def _unpacked(column: pa.Array) -> list[bytes | None]:
     reader = zstandard.ZstdDecompressor()
     return [None if z is None else reader.decompress(z) for z in column.to_pylist()]
@@ -278,35 +329,38 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
     return [np.array(row.as_py() or [], np.int64) for row in column]
 
 
-def repeats(docs: DataFrame, window: int = 20, text_column: str = "text") -> DataFrame:
-    """``(doc, at)``: where windows repeat earlier ones; ``at`` holds the first word and the number of windows."""
-    texts = docs.select(_doc_key(), F.col(f"`{text_column}`").alias("text"))
+def _ids(part: pa.RecordBatch) -> list[np.ndarray]:
+    return [part.column(k).to_numpy(zero_copy_only=False) for k in range(len(DOC))]
+
+
+def repeats(keyed: DataFrame, window: int = 20) -> DataFrame:
+    """``(doc, version, at)``: where windows repeat earlier ones; ``at`` holds the first word and the number of windows."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, SLICE_BYTES):
-                yield _block_rows(part.column(0).to_numpy(zero_copy_only=False), byte_rows(part.column(1)), window)
+            for part in slices(batch, 2, SLICE_BYTES):
+                yield _block_rows(*_ids(part), byte_rows(part.column(2)), window)
 
+    texts = keyed.select(*DOC, "text")
     blocks = stage(_judge(texts.mapInArrow(parse, ROWS)), "blocks")
-    boundary = blocks.where("not repeat").groupBy("doc").agg(F.collect_list("at").alias("places"))
-    plain = docs.select("doc_id", F.col(f"`{text_column}`"))
-    joined = _packed(plain, text_column).join(boundary, "doc").select("doc", "z", "places")
+    # Equal rows of one document give equal places, which are kept once.
+    boundary = blocks.where("not repeat").groupBy(*DOC).agg(F.collect_set("at").alias("places"))
+    joined = _packed(texts).join(boundary, DOC).select(*DOC, "z", "places")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, SLICE_BYTES // 3):
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                yield _window_rows(ids, _unpacked(part.column(1)), _lists(part.column(2)), window)
+            for part in slices(batch, 2, SLICE_BYTES // 3):
+                yield _window_rows(*_ids(part), _unpacked(part.column(2)), _lists(part.column(3)), window)
 
     windows = _judge(joined.mapInArrow(check, ROWS)).where("repeat")
-    return blocks.where("repeat").select("doc", "at").unionByName(windows.select("doc", "at"))
+    return blocks.where("repeat").select(*DOC, "at").unionByName(windows.select(*DOC, "at"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, text_column: str = "text") -> DataFrame:
     """``row`` (struct of all other columns), ``text`` without repeats, ``n_words`` before, ``n_removed`` of them."""
-    spans = repeats(docs, window, text_column).groupBy("doc").agg(F.collect_list("at").alias("places"))
-    packed = _packed(docs, text_column)
-    joined = packed.join(spans, "doc", "left").select("row", "z", "places")
+    keyed = _keyed(docs, text_column)
+    spans = repeats(keyed, window).groupBy(*DOC).agg(F.collect_set("at").alias("places"))
+    joined = _packed(keyed).join(spans, DOC, "left").select("row", "z", "places")
     kinds = T.StructType(
         [joined.schema["row"], T.StructField("text", T.StringType())]
         + [T.StructField(name, T.LongType()) for name in ("n_words", "n_removed")]
