@@ -1,3 +1,4 @@
+import random
 import re
 
 import pyarrow.parquet as pq
@@ -43,6 +44,15 @@ def test_language_stage_drops_only_what_has_no_language(stages, docs):
     assert all(not text or len(text.split()) < 5 for text in lost)
 
 
+def test_language_stage_keeps_short_texts_of_a_large_alphabet(spark):
+    rng, letters = random.Random(2), [chr(0x4E00 + k) for k in range(4000)]
+    weights = [1 / (k + 1) for k in range(4000)]
+    texts = ["".join(rng.choices(letters, weights, k=60 + k % 100)) for k in range(400)]
+    rows = [(k, text, "zh", "src0", len(text)) for k, text in enumerate(texts)] + [(400, "12 34 !!", None, "src0", 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in C.language_stage(spark, frame, "").collect()) == list(range(400))
+
+
 def test_simhash_stage_keeps_one_of_each_group(stages):
     before = rows(stages["language_id"])
     texts = sorted({text for _, text in before})
