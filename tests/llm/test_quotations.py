@@ -95,6 +95,17 @@ def test_random_conversations_match_brute_force(spark):
         seen.add((row.conv_id, row.turn))
 
 
+def test_wrapped_quote_of_two_of_three_paragraphs(spark):
+    parts = [" ".join(f"{name}{k}" for k in range(30)) for name in ("one", "two", "three")]
+    wrap = lambda part: "\n".join("> " + part[k] for k in range(len(part)))
+    lines = [[" ".join(part.split()[k : k + 7]) for k in range(0, 30, 7)] for part in parts]
+    rows = [(1, 0, "u", "\n\n".join(parts)), (1, 1, "u", "something else")]
+    rows += [(1, 2 + k, "u", f"{wrap(lines[0])}\n{blank}\n{wrap(lines[1])}\nanswer {k}") for k, blank in enumerate((">", "> ", ">  \n>"))]
+    got = by_turn(Q.conversations(frame(spark, rows)))
+    assert [got[1, t].reply_to for t in range(5)] == [None, None, 0, 0, 0]
+    assert all(got[1, t].n_linked == 2 and got[1, t].thread == 0 for t in (2, 3, 4))
+
+
 def test_long_chains_of_answers(spark):
     rows = [(1, 0, "user", "words 0")] + [(1, k, "user", f"> words {k - 1}\nwords {k}") for k in range(1, 150)]
     got = by_turn(Q.conversations(frame(spark, rows)))

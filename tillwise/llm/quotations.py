@@ -3,8 +3,9 @@
 Method
     Levels      A line's quote level is the number of ``>`` marks in front of it; lines of one level that follow each other
                 are a passage. The line that announces a quote ("... wrote:") goes with it.
-    Passages    Each passage, and each of its lines, is normalised (case, white space) and hashed. So are the own words
-                of every message: the whole, each paragraph, and each line.
+    Passages    Each passage, each of its paragraphs (which end at a blank quoted line) and each of its lines is
+                normalised (case, white space, so line ends as well) and hashed. So are the own words of every message: the
+                whole, each paragraph, and each line.
     Links       A hash of a quote is joined to the nearest earlier message of the same conversation whose own words have it.
                 A message answers the one that most of its lowest-level quoted characters come from.
     Order       Answers belong to the thread of the message they answer, found by pointer doubling. Ordered by thread, then turn,
@@ -83,7 +84,7 @@ def _originals(parsed: DataFrame) -> DataFrame:
 
 
 def _quotes(parsed: DataFrame) -> DataFrame:
-    """``conv_id, turn, level, hash, chars`` of the quoted passages and their lines."""
+    """``conv_id, turn, level, hash, chars`` of the quoted passages, their paragraphs and their lines."""
     lines = (
         parsed.where("lines is not null")
         .withColumn("message", F.xxhash64("conv_id", "turn", "text"))
@@ -96,7 +97,8 @@ def _quotes(parsed: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("place", "text"))).alias("lines")
     )
     texts = F.transform("lines", lambda line: line["text"])
-    every = F.array_distinct(F.transform(F.concat(F.array(F.array_join(texts, " ")), texts), _plain))
+    paragraphs = F.split(F.array_join(texts, "\n"), r"\n\s*\n")
+    every = F.array_distinct(F.transform(F.concat(F.array(F.array_join(texts, " ")), paragraphs, texts), _plain))
     return (
         passages.select("conv_id", "turn", "level", F.explode(F.filter(every, lambda p: p != "")).alias("passage"))
         .groupBy("conv_id", "turn", "level", F.xxhash64("passage").alias("hash"))
@@ -107,7 +109,7 @@ def _quotes(parsed: DataFrame) -> DataFrame:
 def links(parsed: DataFrame) -> DataFrame:
     """``conv_id, turn, reply_to, n_quotes, n_linked``: for messages with quotes, the turn they answer (or null).
 
-    ``n_quotes`` counts the distinct quoted passages and lines, ``n_linked`` those found in an earlier message.
+    ``n_quotes`` counts the distinct quoted passages, paragraphs and lines, ``n_linked`` those found in an earlier message.
     """
     known = "conv_id is not null and turn is not null"
     quotes, originals = _quotes(parsed.where(known)), _originals(parsed.where(known))
