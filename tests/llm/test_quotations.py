@@ -122,6 +122,12 @@ def test_odd_rows(spark):
     assert next(r for r in found if r.conv_id == 4 and r.turn == 1).text == ""
 
 
+def test_lines_of_very_many_marks(spark):
+    rows = [(1, 0, "user", ">" * 200_000), (1, 1, "user", "> " * 100_000 + "x\nown"), (1, 2, "user", " \t" * 100_000 + "own")]
+    found = by_turn(Q.conversations(frame(spark, rows)))
+    assert [found[1, k].text for k in range(3)] == ["", "own", " \t" * 100_000 + "own"]
+
+
 @pytest.mark.parametrize("mark", ["> ", ">", " > ", "\t>"])
 def test_ways_to_mark_a_quote(spark, mark):
     rows = [(1, 0, "u", "First line\r\nsecond line"), (1, 1, "u", f"{mark}First line\r\n{mark}second line\r\nanswer")]

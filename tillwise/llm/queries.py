@@ -84,8 +84,8 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     profiles = language_id.learn(docs.where(~language_id.held_out()))
     found = language_id.classify(docs, profiles, ["doc_id"])
-    out = F.coalesce(language_id.held_out(), F.lit(False))
-    return found.select("row.doc_id", "lang_pred", "score").withColumn("held_out", out)
+    out = F.coalesce(language_id.held_out(), F.lit(False)).alias("held_out")
+    return found.select("row.doc_id", "lang_pred", "score").select("doc_id", out, "lang_pred", "score")
 
 
 @query

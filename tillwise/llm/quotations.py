@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillwise.sources.staging import stage
 
-MARKS = r"^(?:[ \t]*>)+[ \t]?"
+MARKS = r"^[ \t>]*>[ \t]?"  # no repeated group: those overflow the stack on long lines
 QUOTING = r"(?m)^[ \t]*>"
 #: Words that announce a quote at the end of a line.
 ANNOUNCES = r"(?i)\b(?:wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$"
