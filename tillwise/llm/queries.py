@@ -8,15 +8,18 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillwise.llm import (
+    ball_tree,
     language_id,
     license_scan,
     mixing,
     nearest,
     packing,
+    prefix_trie,
     quality,
     quotations,
     simhash_dedup,
     substring_dedup,
+    vector_codes,
     warc,
 )
 from tillwise.llm.common import SPACES, table
@@ -107,5 +110,22 @@ def op10_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
     return quotations.conversations(table(spark, folder, "conversations"))
 
 
+@query
+def op11_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    return ball_tree.top_products(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, folder, "conversations")).drop("k1", "k2")
+
+
+@query
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, folder, "embeddings"), parts=4, entries=256, rounds=4)
+    rows = vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error")
+    return rows.withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
+
+
 # Queries that SQL can express have their DuckDB text here.
 ORACLE: dict[str, str] = {}
