@@ -23,6 +23,7 @@ from tillwise.llm import (
     warc,
 )
 from tillwise.llm.common import SPACES, table
+from tillwise.llm.oracle import ORACLE  # noqa: F401  the DuckDB text of queries that SQL can express
 from tillwise.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,7 +126,3 @@ def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     coded, books = vector_codes.compress(table(spark, folder, "embeddings"), parts=4, entries=256, rounds=4)
     rows = vector_codes.with_label_error(coded).select("vec_id", "code", "error", "label_error")
     return rows.withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
-
-
-# Queries that SQL can express have their DuckDB text here.
-ORACLE: dict[str, str] = {}
