@@ -612,6 +612,14 @@ CAST(Profit AS DOUBLE) AS Profit) FROM numbered WHERE row_number <= {V.PREVIEW_R
     "csv_two_orders": with_sales(
         "SELECT " + ", ".join(f'CAST("{name}" AS VARCHAR) AS "{name}"' for name in V.SALES_COLUMNS) + " FROM sales"
     ),
+    "csv_quoted_breaks": with_sales(
+        """SELECT Order_ID, Customer_ID, Product, Category, CASE CAST(Order_ID AS BIGINT) % 7
+             WHEN 0 THEN Product || chr(10) || 'said "' || Category || '",' || chr(10) || Order_ID
+             WHEN 1 THEN '"' || Category || '"'
+             WHEN 2 THEN Category || chr(13) || chr(10) || ', ' || chr(10) || chr(10)
+             WHEN 3 THEN Order_ID || ', ' || Product
+             ELSE Product END AS note FROM sales"""
+    ),
     "dim_products": with_sales(
         f"SELECT DISTINCT {PRODUCT_KEY} AS Product_ID, Product AS Product_Name, Category FROM sales"
     ),

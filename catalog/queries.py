@@ -335,6 +335,27 @@ def csv_two_orders(spark: SparkSession, folder: str) -> DataFrame:
     return load_data(spark, paths)
 
 
+def noted_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """All sales lines with a note that holds line breaks, doubled quotes and commas, by rules on the order key."""
+    key = F.col("Order_ID").cast("long")
+    note = (
+        F.when(key % 7 == 0, F.concat("Product", F.lit('\nsaid "'), "Category", F.lit('",\n'), "Order_ID"))
+        .when(key % 7 == 1, F.concat(F.lit('"'), "Category", F.lit('"')))
+        .when(key % 7 == 2, F.concat("Category", F.lit("\r\n, \n\n")))
+        .when(key % 7 == 3, F.concat("Order_ID", F.lit(", "), "Product"))
+        .otherwise(F.col("Product"))
+    )
+    return sales_lines(spark, folder, ["Order_ID", "Customer_ID", "Product", "Category"]).withColumn("note", note)
+
+
+@query
+def csv_quoted_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with line breaks in quoted cells, written as CSV and read back in splits."""
+    path = _fresh(spark, "csv-breaks")
+    write_csv(noted_lines(spark, folder), path)
+    return load_data(spark, path)
+
+
 # --- star schema ------------------------------------------------------------------
 over_sales("dim_products", star.dim_products, "Product", "Category")
 over_sales("dim_customers", star.dim_customers, "Customer_ID")
