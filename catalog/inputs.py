@@ -51,3 +51,43 @@ def dirty_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.when(every(31), null).otherwise(money("Profit")).alias("Profit"),
         F.when(every(53), "n/a?").otherwise(F.col("Quantity").cast("string")).alias("Quantity"),
     )
+
+
+def spelled_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The dirty lines, and those of every 50th order once more with their id spelled as a fraction."""
+    lines = dirty_lines(spark, folder)
+    again = lines.where(F.col("`order id`").cast("long") % 50 == 0)
+    return lines.unionByName(again.withColumn("order id", F.concat("`order id`", F.lit(".0"))))
+
+
+def typed_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Text columns of every type, and mixes of them, from all sales lines."""
+    key = F.col("Order_ID").cast("long")
+    null = F.lit(None).cast("string")
+    iso = F.date_format("Date", "yyyy-MM-dd")
+    return sales_lines(spark, folder).select(
+        F.col("Order_ID").alias("whole"),
+        F.when(key % 3 == 0, F.concat("Order_ID", F.lit(".0"))).when(key % 11 == 0, null).otherwise(F.col("Order_ID")).alias("fraction"),
+        F.when(key % 2 == 0, "True").when(key % 5 == 0, null).otherwise("FALSE").alias("truth"),
+        iso.alias("day"),
+        F.when(key % 7 == 0, F.date_format("Date", "MM/dd/yyyy")).otherwise(iso).alias("days"),
+        F.when(key % 97 == 0, "unknown").otherwise(F.col("Order_ID")).alias("mixed"),
+        F.col("Product").alias("word"),
+        null.alias("nothing"),
+        F.col("Quantity").alias("typed"),
+    )
+
+
+def dated_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All sales lines as text with a file of six: 0 and 1 month-first, 2 and 3 day-first, 4 ISO, 5 month-first and never after the 12th."""
+    lines = sales_lines(spark, folder, ["Date", "Order_ID", "Customer_ID", "Product", "Category", "Revenue", "Cost", "Quantity"])
+    file = F.col("Customer_ID").cast("long") % 6
+    month_first, day_first = F.date_format("Date", "MM/dd/yyyy"), F.date_format("Date", "d/M/yyyy")
+    date = (
+        F.when(file <= 1, month_first)
+        .when(file <= 3, day_first)
+        .when(file == 4, F.date_format("Date", "yyyy-MM-dd"))
+        .when(F.dayofmonth("Date") <= 12, month_first)
+    )
+    texts = [F.col(name).cast("string").alias(name) for name in lines.columns if name != "Date"]
+    return lines.select(date.alias("Date"), *texts, F.concat(F.lit("file"), file.cast("string")).alias("file"))

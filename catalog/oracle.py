@@ -277,6 +277,57 @@ ALL_NULLS = " + ".join(f"""COUNT(*) FILTER (WHERE "{name}" IS NULL)""" for name
 BAD_DATES = """SELECT COUNT(*) FROM dirty WHERE TRY_STRPTIME("Date", '%Y-%m-%d') IS NULL"""
 
 
+def inferred() -> str:
+    """Types of the text columns, by the set of the kinds of their cells."""
+    iso, slash = "strftime(\"Date\", '%Y-%m-%d')", "strftime(\"Date\", '%m/%d/%Y')"
+    columns = {
+        "whole": "Order_ID", "fraction": "CASE WHEN k % 3 = 0 THEN Order_ID || '.0' WHEN k % 11 = 0 THEN NULL ELSE Order_ID END",
+        "truth": "CASE WHEN k % 2 = 0 THEN 'True' WHEN k % 5 = 0 THEN NULL ELSE 'FALSE' END", "day": iso,
+        "days": f"CASE WHEN k % 7 = 0 THEN {slash} ELSE {iso} END", "mixed": "CASE WHEN k % 97 = 0 THEN 'unknown' ELSE Order_ID END",
+        "word": "Product", "nothing": "CAST(NULL AS VARCHAR)", "typed": "CAST(Quantity AS VARCHAR)",
+    }
+    cells = " UNION ALL ".join(
+        f"SELECT {place} AS place, '{name}' AS \"column\", {cell} AS cell FROM (SELECT *, CAST(Order_ID AS BIGINT) AS k FROM sales)"
+        for place, (name, cell) in enumerate(columns.items())
+    )
+    return with_sales(
+        f"""
+SELECT "column", CASE WHEN kinds = '' THEN 'void' WHEN kinds IN ('int,float', 'float') THEN 'float' WHEN contains(kinds, ',') THEN 'text'
+         ELSE kinds END AS type, kinds, cells, missing, widest
+FROM (SELECT "column", array_to_string(list_filter(['bool', 'int', 'float', 'date', 'text'], lambda x: list_contains(found, x)), ',') AS kinds,
+             cells, missing, CAST(COALESCE(widest, 0) AS INTEGER) AS widest
+      FROM (SELECT "column", COALESCE(list(DISTINCT kind) FILTER (WHERE kind IS NOT NULL), []) AS found, count(cell) AS cells,
+                   count(*) - count(cell) AS missing, max(length(cell)) AS widest
+            FROM (SELECT *, CASE WHEN cell IS NULL THEN NULL WHEN lower(cell) IN ('true', 'false') THEN 'bool'
+                           WHEN regexp_full_match(cell, '[+-]?[0-9]+') THEN 'int' WHEN regexp_full_match(cell, '[+-]?[0-9]+[.][0-9]*') THEN 'float'
+                           WHEN TRY_STRPTIME(cell, ['%Y-%m-%d', '%m/%d/%Y']) IS NOT NULL THEN 'date' ELSE 'text' END AS kind
+                  FROM ({cells})) GROUP BY place, "column"))"""
+    )
+
+
+DATED = """
+dated AS (
+  SELECT *, 'file' || f AS file, CASE WHEN f <= 1 THEN strftime("Date", '%m/%d/%Y') WHEN f <= 3 THEN strftime("Date", '%-d/%-m/%Y')
+         WHEN f = 4 THEN strftime("Date", '%Y-%m-%d') WHEN day("Date") <= 12 THEN strftime("Date", '%m/%d/%Y') END AS cell
+  FROM (SELECT *, CAST(Customer_ID AS BIGINT) % 6 AS f FROM sales)
+)"""
+
+
+def votes() -> str:
+    forms = [("M/d/yyyy", "%m/%d/%Y"), ("d/M/yyyy", "%d/%m/%Y")]
+    each = " UNION ALL ".join(
+        f"SELECT {place} AS place, file, '{form}' AS format, count(*) FILTER (WHERE TRY_STRPTIME(cell, '{short}') IS NOT NULL) AS parsed, "
+        f"min(CAST(Order_ID AS BIGINT)) FILTER (WHERE TRY_STRPTIME(cell, '{short}') IS NOT NULL) AS first_row FROM dated GROUP BY file"
+        for place, (form, short) in enumerate(forms)
+    )
+    return with_sales(
+        f"""
+SELECT file, format, parsed, first_row,
+       ROW_NUMBER() OVER (PARTITION BY file ORDER BY parsed DESC, first_row NULLS LAST, place) = 1 AS chosen FROM ({each})""",
+        DATED,
+    )
+
+
 def clean_summary() -> str:
     return with_sales(
         f"""
@@ -547,6 +598,22 @@ UNION ALL SELECT 'Duplicate Rows', NULL, {DUPLICATES} UNION ALL SELECT 'Invalid
         "ROUND(Quantity, 4) AS Quantity) FROM cleaned",
         CLEAN,
     ),
+    "inferred_types": inferred(),
+    "clean_by_type": with_sales(
+        """
+SELECT CAST(before.n AS BIGINT) AS rows_before, CAST(after.n AS BIGINT) AS rows_after,
+       CAST(before.n - (SELECT COUNT(*) FROM singles) AS BIGINT) AS duplicate_rows_removed
+FROM (SELECT COUNT(*) + COUNT(*) FILTER (WHERE CAST(Order_ID AS BIGINT) % 50 = 0) AS n FROM dirty) AS before,
+     (SELECT COUNT(*) AS n FROM cleaned) AS after""",
+        CLEAN,
+    ),
+    "date_format_vote": votes(),
+    "clean_voted_dates": with_sales(
+        """
+SELECT "Date", COUNT(*) AS lines, ROUND(CAST(SUM(Revenue) AS DOUBLE), 4) AS revenue
+FROM (SELECT DISTINCT * FROM dated WHERE cell IS NOT NULL) GROUP BY 1""",
+        DATED,
+    ),
     "clean_kpis": with_sales(kpi_row(3), CLEAN, kpis("cleaned")),
     "daily_revenue": with_sales('SELECT d AS "Date", ROUND(y, 4) AS revenue FROM daily', ALL),
     "daily_spine": with_sales('SELECT d AS "Date", ROUND(y, 4) AS revenue, x FROM dense', ALL),

@@ -7,10 +7,10 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalog.inputs import costly_lines, dirty_lines
+from catalog.inputs import costly_lines, dated_files, dirty_lines, spelled_lines, typed_texts
 from tillwise.fixed_values import TEXT_COLUMNS
 from tillwise.functions.text import format_currency, format_percent
-from tillwise.operators import cleaning, forecast, kpis, profile, recommend, reports, star, trends
+from tillwise.operators import cleaning, forecast, inference, kpis, profile, recommend, reports, star, trends
 from tillwise.operators.adhoc import run_select
 from tillwise.operators.numbering import number_rows
 from tillwise.operators.root_cause import analyze_root_cause
@@ -185,6 +185,32 @@ def clean_kpis(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(kpis.calculate_kpis(cleaning.clean_data(dirty_lines(spark, folder))), 3)
 
 
+@query
+def inferred_types(spark: SparkSession, folder: str) -> DataFrame:
+    return inference.inferred_types(typed_texts(spark, folder))
+
+
+@query
+def clean_by_type(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that differ in the spelling of their order number only are duplicates by type."""
+    result = cleaning.clean_sales_data(spelled_lines(spark, folder), by_type=True)
+    return result.summary.select("rows_before", "rows_after", "duplicate_rows_removed")
+
+
+@query
+def date_format_vote(spark: SparkSession, folder: str) -> DataFrame:
+    lines = dated_files(spark, folder)
+    return inference.date_format_votes(lines, "file", row_order=F.col("Order_ID").cast("long"))
+
+
+@query
+def clean_voted_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Cleaned lines and revenue per day, from files that write their dates in different orders."""
+    cleaned = cleaning.clean_sales_data(dated_files(spark, folder), file_column="file").cleaned
+    revenue = F.sum(F.col("Revenue").cast("decimal(18,4)")).cast("double")
+    return rounded(cleaned.groupBy("Date").agg(F.count("*").alias("lines"), revenue.alias("revenue")))
+
+
 # --- forecast ---------------------------------------------------------------------
 over_sales("daily_revenue", lambda lines: forecast.daily_revenue(lines).drop("series"), *DAILY)
 over_sales("daily_spine", lambda lines: forecast.daily_spine(lines).select("Date", "revenue", "x"), *DAILY)

@@ -38,6 +38,10 @@ WHITESPACE = (
 )
 CURRENCY_MARKS = "$,"
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+WHOLE_PATTERN = r"^[+-]?\d+$"
+BOOLEAN_TEXTS = ["True", "TRUE", "true", "False", "FALSE", "false"]
+# Formats that read the same cells differently; one of them is chosen per file.
+DATE_RIVALS = ("M/d/yyyy", "d/M/yyyy")
 DATE_FORMATS = ("yyyy-M-d", "yyyy-M-d H:mm[:ss][.SSSSSS]", "yyyy-M-d'T'H:mm[:ss][.SSSSSS]", "M/d/yyyy")
 
 # --- fixed values: KPI table -----------------------------------------------------

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DataType, StringType
 
 from tillwise.fixed_values import (
     ACTION_TEXTS,
@@ -29,12 +29,14 @@ from tillwise.fixed_values import (
 from tillwise.functions.numbers import add_numbers
 from tillwise.functions.periods import parse_date
 from tillwise.functions.text import blank_to_null, col
+from tillwise.operators.inference import by_inferred_value, infer_types, parse_voted, with_date_format
 from tillwise.operators.medians import approximate_medians, bounds_columns, exact_medians
 from tillwise.operators.profile import build_column_report, group_copies, nan_to_null
 from tillwise.sources.staging import stage
 
 COPIES = "copies of row"
 REGULAR_NUMBER = r"^(?!-0(\.0*)?$)-?(0|[1-9]\d*)(\.\d+)?$"
+FORMAT = "date format"
 PARSED, RAW, HAS_DATE_TEXT = "parsed ", "raw ", "has date text"
 SUMMARY_TYPE = (
     "rows_before long, rows_after long, columns long, duplicate_rows_removed long, invalid_dates_found long, "
@@ -139,16 +141,30 @@ def clean_sales_data(
     date_formats: Sequence[str] = DATE_FORMATS,
     approximate: bool = False,
     sketched_medians: bool = False,
+    by_type: bool = False,
+    file_column: str | None = None,
 ) -> CleanResult:
     """Clean raw rows.
 
     ``approximate`` replaces the exact distinct counts of the column report by sketches, and ``sketched_medians`` the
     exact medians that fill gaps (see ``approximate_medians`` for their error).
+
+    ``by_type`` infers the type of every column first, and compares and returns cells by their value: in a column of
+    numbers ``7`` and ``7.0`` are equal, also where it holds ids. ``file_column`` names a column that tells the files of the rows
+    apart; it is dropped, and each file has its own order of day and month (see ``date_format_votes``).
     """
     formats = tuple(date_formats)
+    if file_column and file_column not in raw.columns:
+        raise ValueError(f"There is no column {file_column}.")
     renamed = nan_to_null(standardize_column_names(raw))
-    names = renamed.columns
+    names = [name for name in renamed.columns if name != file_column]
+    if by_type:
+        renamed = by_inferred_value(renamed, infer_types(renamed.select(*map(col, names)), formats), keep=["Date"])
+    if file_column:
+        renamed = with_date_format(renamed, file_column, FORMAT) if "Date" in names else renamed.drop(file_column)
     staged = _stage_parsed(group_copies(renamed, COPIES), formats, "distinct")
+    keys = names + [FORMAT] if FORMAT in staged.columns else names
+    renamed = renamed.select(*map(col, names))
     rows = _typed_rows(staged, names)
     first = counters = rows.agg(*_raw_counters(renamed), *_clean_counters(rows, names)).first()
     if not first["rows"]:
@@ -158,7 +174,7 @@ def clean_sales_data(
     plain = [name for name in _text_numbers(renamed) if _has_spellings(first, name)]
     if plain:
         by_value = staged.withColumns({name: col(PARSED + name) for name in plain})
-        by_value = by_value.groupBy(*[col(name) for name in names]).agg(F.sum(COPIES).alias(COPIES))
+        by_value = by_value.groupBy(*[col(name) for name in keys]).agg(F.sum(COPIES).alias(COPIES))
         rows = _typed_rows(_stage_parsed(by_value, formats, "distinct-by-value"), names)
         counters = rows.agg(*_clean_counters(rows, names)).first()
 
@@ -202,12 +218,16 @@ def _stage_parsed(distinct: DataFrame, formats: tuple[str, ...], name: str) -> D
         date = "date cell"
         parsed = (
             parsed.withColumn(date, text)
-            .withColumns({PARSED + "Date": parse_date(col(date), kind, formats), HAS_DATE_TEXT: col(date).isNotNull()})
+            .withColumns({PARSED + "Date": _date(col(date), kind, formats, FORMAT in names), HAS_DATE_TEXT: col(date).isNotNull()})
             .drop(date)
         )
     return stage(parsed, name)
 
 
+def _date(cell: Column, kind: DataType, formats: tuple[str, ...], voted: bool) -> Column:
+    return parse_voted(cell, kind, formats, FORMAT) if voted else parse_date(cell, kind, formats)
+
+
 def _typed_rows(staged: DataFrame, names: list[str]) -> DataFrame:
     """Staged rows with typed columns next to the raw ones: ``RAW`` + name is the cell as it came."""
     typed = []

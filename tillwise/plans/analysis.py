@@ -52,11 +52,18 @@ def ingest(
     store_path: str,
     source_name: str | None = None,
     date_formats: Sequence[str] = DATE_FORMATS,
+    by_type: bool = False,
+    date_order_per_file: bool = False,
 ) -> Ingested:
-    """CSV files to a stored run. The result owns the staged tables; a failure deletes them."""
+    """CSV files to a stored run. The result owns the staged tables; a failure deletes them.
+
+    ``by_type`` compares cells by the inferred type of their column; ``date_order_per_file`` lets the dates of each file decide
+    between month-first and day-first. Both cost one more aggregate over the raw rows.
+    """
     area = StageArea(spark)
+    file = "source file" if date_order_per_file else None
     with area.collecting():
-        quality = clean_sales_data(load_data(spark, csv_path), date_formats)
+        quality = clean_sales_data(load_data(spark, csv_path, file_column=file), date_formats, by_type=by_type, file_column=file)
         kpis = calculate_kpis(quality.cleaned)
         store = RunStore(spark, store_path)
         run_id = store.save(quality.cleaned, kpis, source_name or csv_path, written=True)

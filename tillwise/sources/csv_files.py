@@ -12,7 +12,7 @@ from tillwise.functions.text import col
 from tillwise.operators.cleaning import standardize_column_names
 from tillwise.sources.staging import stage
 
-LINE = "line that does not fit"
+LINE, FILE = "line that does not fit", "file of line"
 BAD_LINE = "A CSV line has more cells than the header, or a broken quote: "
 BAD_HEADER = "A CSV file has another header than the others of its path: "
 OPEN_QUOTE = "A quoted CSV cell is never closed in: "
@@ -20,7 +20,9 @@ SHOWN = 200  # characters of a bad line
 OPTIONS = {"header": True, "escape": '"', "encoding": "UTF-8"}
 
 
-def load_data(spark: SparkSession, path: str | list[str], line_breaks_in_cells: bool | None = None) -> DataFrame:
+def load_data(
+    spark: SparkSession, path: str | list[str], line_breaks_in_cells: bool | None = None, file_column: str | None = None
+) -> DataFrame:
     """Raw sales rows from files or folders with a header row.
 
     Cells stay text; texts that mean "no value" are null. Large files are split over many tasks, also those with line
@@ -29,15 +31,16 @@ def load_data(spark: SparkSession, path: str | list[str], line_breaks_in_cells:
 
     Every path of a list is read by its own header, and the columns are put together by standard name. Files of one
     folder must have one header; another one stops the job. So does a line with more cells than the header, or a
-    quote that is never closed. A line with fewer cells has nulls at its end. Blank lines are skipped.
+    quote that is never closed. A line with fewer cells has nulls at its end. Blank lines are skipped. ``file_column`` adds a
+    column with the path of the file of each row.
     """
-    parts = [_read(spark, one, line_breaks_in_cells) for one in ([path] if isinstance(path, str) else path)]
+    parts = [_read(spark, one, line_breaks_in_cells, file_column) for one in ([path] if isinstance(path, str) else path)]
     if any(part.columns != parts[0].columns for part in parts):
         parts = [standardize_column_names(part) for part in parts]
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), parts)
 
 
-def _read(spark: SparkSession, path: str, line_breaks_in_cells: bool | None) -> DataFrame:
+def _read(spark: SparkSession, path: str, line_breaks_in_cells: bool | None, file_column: str | None) -> DataFrame:
     # The header may hold a line break too; in either way only the first record is parsed here.
     begins = _lines(spark, path).where((F.col("start") == 0) & (F.trim("value") != "")).select(_open(F.col("value")).alias("open"))
     header = spark.read.csv(path, multiLine=bool((begins.first() or {"open": False})["open"]), **OPTIONS)
@@ -54,16 +57,19 @@ def _read(spark: SparkSession, path: str, line_breaks_in_cells: bool | None) ->
         plain = spark.read.option("columnPruning", "false").csv(
             path, schema=kinds, columnNameOfCorruptRecord=LINE, enforceSchema=files == 1, **OPTIONS
         )
-        parts.append(plain.where(~place.isin(broken)) if broken else plain)
+        plain = plain.where(~place.isin(broken)) if broken else plain
+        parts.append(plain.select(*map(col, plain.columns), *([place.alias(FILE)] if file_column else [])))
     if line_breaks_in_cells or broken:
         lines = _lines(spark, path)
-        parts.append(_parsed(_records(lines.where(F.col("file").isin(broken)) if broken else lines), names))
+        parsed = _parsed(_records(lines.where(F.col("file").isin(broken)) if broken else lines), names)
+        parts.append(parsed if file_column else parsed.drop(FILE))
     raw = reduce(DataFrame.unionByName, parts)
     # The message names a cell as well, because Spark refuses to read nothing but the line.
     shown = F.concat(F.lit(BAD_LINE), F.left(F.col(LINE), F.lit(SHOWN)), F.left(F.coalesce(col(names[0]), F.lit("")), F.lit(0)))
     bad = _does_not_fit(len(names), unchecked=line_breaks_in_cells is False)
     fits = raw.where(F.when(bad, F.raise_error(shown).cast("boolean")).otherwise(F.lit(True)))
-    return fits.select(*[F.when(~col(name).isin(NULL_TOKENS), col(name)).alias(name) for name in names])
+    cells = [F.when(~col(name).isin(NULL_TOKENS), col(name)).alias(name) for name in names]
+    return fits.select(*cells, *([col(FILE).alias(file_column)] if file_column else []))
 
 
 # --- quotes -----------------------------------------------------------------------
@@ -207,8 +213,9 @@ def _parsed(records: DataFrame, names: list[str]) -> DataFrame:
     wrong = records.where("header").select("file", cells).where(other).select("file").limit(1).collect()
     if wrong:
         raise ValueError(BAD_HEADER + wrong[0]["file"])
-    rows = records.where("not header").select(cells)
-    return rows.select(*[F.col(f"cells.{place}").alias(name) for place, name in zip(places, names)], F.col("cells.unfit").alias(LINE))
+    rows = records.where("not header").select("file", cells)
+    own = [F.col(f"cells.{place}").alias(name) for place, name in zip(places, names)]
+    return rows.select(*own, F.col("cells.unfit").alias(LINE), F.col("file").alias(FILE))
 
 
 def write_csv(frame: DataFrame, path: str, mode: str = "errorifexists") -> None:
