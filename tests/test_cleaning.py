@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tillwise.operators import medians as M
+from tillwise.operators import medians as M, profile as P
 from tillwise.operators.cleaning import clean_data, clean_sales_data, in_date_order, standardize_column_names
+from tillwise.sources.staging import stage
 
 
 def raw(spark, rows, *names):
@@ -161,3 +162,32 @@ def test_medians_only_when_asked_for(spark, monkeypatch):
     assert sketched.fills["Quantity"] in known[len(known) // 2 - 1 : len(known) // 2 + 1]
     monkeypatch.setattr("tillwise.operators.cleaning.exact_medians", lambda *_: pytest.fail("no median is needed"))
     assert clean_sales_data(source).summary.first()["missing_values_before"] == 49
+
+
+@pytest.mark.parametrize("repeats", [0, 1, 1000])
+def test_distinct_rows_by_fingerprint(spark, repeats):
+    rows = [("a", None), (None, "a"), ("a", None), ("", None), (None, None), (None, None), (None, ""), ("1", "0")] + [("hot", "x")] * 500
+    frame = raw(spark, rows, "a.b", "c").repartition(3)
+    written = stage(P.with_fingerprint(frame).withColumn("extra", F.concat_ws("-", "`a.b`", "c")), "rows")
+    found = [tuple(r) for r in P.distinct_rows(written, ["a.b", "c"], "n", repeats).select("`a.b`", "c", "n", "extra").collect()]
+    want = {row: rows.count(row) for row in rows}
+    assert sorted(found, key=repr) == sorted(((*row, n, "-".join(x for x in row if x is not None)) for row, n in want.items()), key=repr)
+    assert P.distinct_rows(written.limit(0), ["a.b", "c"]).count() == 0
+
+
+def test_rows_that_only_share_a_fingerprint_stay_two(spark):
+    frame = raw(spark, [("a", "1"), ("b", "2"), ("b", "2"), ("c", "3")], "x", "y")
+    same = frame.withColumns({P.PRINTS[0]: F.when(F.col("x") == "c", 8).otherwise(7), P.PRINTS[1]: F.lit(7)})
+    found = P.distinct_rows(stage(same, "rows"), ["x", "y"])
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "1", 1), ("b", "2", 2), ("c", "3", 1)]
+
+
+def test_cleaning_does_not_shuffle_whole_rows(spark):
+    frame = raw(spark, [("2026-01-01", str(k), "5") for k in range(50)], "Date", "Order_ID", "Quantity")
+    assert "Exchange" not in clean_data(frame)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_column_report_with_inferred_types(spark):
+    frame = raw(spark, [("2026-01-01", "7", "1.5"), ("2026-01-02", "8", "2")], "Date", "Order_ID", "Quantity")
+    report = {r["Column"]: r["Inferred Type Before"] for r in clean_sales_data(frame, by_type=True).column_report.collect()}
+    assert report == {"Date": "date", "Order_ID": "int", "Quantity": "float"}

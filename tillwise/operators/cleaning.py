@@ -1,7 +1,8 @@
 """Cleaning of raw sales rows, with a summary, a column report and a log of what was changed.
 
-The job has one shuffle: equal raw rows are grouped and staged as a written table with a copy counter.
-All counters, the medians and the cleaned rows are then narrow passes over that table.
+Raw rows are written with a fingerprint. Only fingerprints are shuffled: rows are compared as a whole where a fingerprint
+repeats. Distinct rows are staged with every cell parsed once and a copy counter. All counters, the medians and the
+cleaned rows are then narrow passes over that table.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ from tillwise.fixed_values import (
 from tillwise.functions.numbers import add_numbers
 from tillwise.functions.periods import parse_date
 from tillwise.functions.text import blank_to_null, col
-from tillwise.operators.inference import by_inferred_value, infer_types, parse_voted, with_date_format
+from tillwise.operators.inference import ColumnType, by_inferred_value, infer_types, parse_voted, with_date_format
 from tillwise.operators.medians import approximate_medians, bounds_columns, exact_medians
-from tillwise.operators.profile import build_column_report, group_copies, nan_to_null
+from tillwise.operators.profile import build_column_report, distinct_rows, nan_to_null, with_fingerprint
 from tillwise.sources.staging import stage
 
 COPIES = "copies of row"
+ROW_GROUP = 8 << 20  # bytes: raw rows may come from few tasks, but are parsed by many
 REGULAR_NUMBER = r"^(?!-0(\.0*)?$)-?(0|[1-9]\d*)(\.\d+)?$"
 FORMAT = "date format"
 PARSED, RAW, HAS_DATE_TEXT = "parsed ", "raw ", "has date text"
@@ -60,6 +62,7 @@ class CleanResult:
     distinct_raw: DataFrame  # raw rows as staged, with their copies
     approximate: bool = False
     sketched_medians: bool = False
+    types: list[ColumnType] | None = None  # as inferred of the cells, if asked for
 
     @property
     def _derived(self) -> bool:
@@ -103,7 +106,7 @@ class CleanResult:
     @cached_property
     def column_report(self) -> DataFrame:
         return build_column_report(
-            self.distinct_raw, self.cleaned, self.approximate, weight=COPIES, nulls_before=self._nulls_before
+            self.distinct_raw, self.cleaned, self.approximate, weight=COPIES, nulls_before=self._nulls_before, types=self.types
         )
 
 
@@ -158,12 +161,14 @@ def clean_sales_data(
         raise ValueError(f"There is no column {file_column}.")
     renamed = nan_to_null(standardize_column_names(raw))
     names = [name for name in renamed.columns if name != file_column]
-    if by_type:
-        renamed = by_inferred_value(renamed, infer_types(renamed.select(*map(col, names)), formats), keep=["Date"])
+    types = infer_types(renamed.select(*map(col, names)), formats) if by_type else None
+    if types:
+        renamed = by_inferred_value(renamed, types, keep=["Date"])
     if file_column:
         renamed = with_date_format(renamed, file_column, FORMAT) if "Date" in names else renamed.drop(file_column)
-    staged = _stage_parsed(group_copies(renamed, COPIES), formats, "distinct")
-    keys = names + [FORMAT] if FORMAT in staged.columns else names
+    keys = renamed.columns
+    written = stage(with_fingerprint(renamed), "rows", row_group=ROW_GROUP)
+    staged = _stage_parsed(distinct_rows(written, keys, COPIES), formats, "distinct")
     renamed = renamed.select(*map(col, names))
     rows = _typed_rows(staged, names)
     first = counters = rows.agg(*_raw_counters(renamed), *_clean_counters(rows, names)).first()
@@ -186,6 +191,7 @@ def clean_sales_data(
         distinct_raw=staged.select(*[col(name) for name in names], COPIES),
         approximate=approximate,
         sketched_medians=sketched_medians,
+        types=types,
     )
 
 

@@ -10,6 +10,8 @@ from pyspark.sql.types import DoubleType, FloatType
 from tillwise.fixed_values import DATE_FORMATS
 from tillwise.functions.periods import parse_date
 from tillwise.functions.text import col
+from tillwise.operators.inference import ColumnType
+from tillwise.sources.staging import stage
 
 
 def nan_to_null(frame: DataFrame) -> DataFrame:
@@ -35,6 +37,44 @@ def group_copies(frame: DataFrame, counter: str = "copies") -> DataFrame:
     return frame.groupBy(*[col(name) for name in frame.columns]).agg(F.count("*").alias(counter))
 
 
+PRINTS = ["row print 1", "row print 2"]
+REPEATS = 1_000_000  # repeated fingerprints that are broadcast: two longs each
+
+
+def with_fingerprint(frame: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """Add 128 bits that equal rows have in common, in two columns ``PRINTS``."""
+    names = frame.columns if keys is None else keys
+    # Hashes skip nulls: their places are hashed as a text of their own.
+    nulls = F.concat(*[F.when(col(name).isNull(), "1").otherwise("0") for name in names])
+    return frame.withColumns({name: F.xxhash64(F.lit(seed), nulls, *map(col, names)) for seed, name in enumerate(PRINTS)})
+
+
+def distinct_rows(written: DataFrame, keys: list[str], counter: str = "copies", repeats: int = REPEATS) -> DataFrame:
+    """Distinct rows by ``keys`` of a written table with fingerprints, with their number of copies (nulls are equal).
+
+    Only fingerprints are shuffled, combined in every task first. A row whose fingerprint is alone has no copy and stays where it is;
+    rows whose fingerprints repeat are compared as a whole, so two rows that only share a fingerprint stay two. The
+    other columns must follow from the keys. Beyond ``repeats`` repeated fingerprints, too many to broadcast, all rows are grouped.
+    """
+    others = [name for name in written.columns if name not in [*keys, *PRINTS]]
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        kept = [F.any_value(col(name)).alias(name) for name in others]
+        one = rows.groupBy(*map(col, keys)).agg(F.count("*").alias(counter), *kept)
+        return stage(one.select(*map(col, [*keys, *others, counter])), "copies")
+
+    prints = written.groupBy(*map(col, PRINTS)).agg(F.count("*").alias("rows")).where("rows > 1").select(*map(col, PRINTS))
+    repeated = stage(prints, "repeated-rows")
+    many = repeated.limit(repeats + 1).count()
+    alone = [*map(col, [*keys, *others]), F.lit(1).cast("long").alias(counter)]
+    if many == 0:
+        return written.select(*alone)
+    if many > repeats:
+        return grouped(written)
+    once = written.join(F.broadcast(repeated), PRINTS, "left_anti").select(*alone)
+    return once.unionByName(grouped(written.join(F.broadcast(repeated), PRINTS, "left_semi")))
+
+
 def check_missing_values(frame: DataFrame) -> DataFrame:
     """(column, missing): null cells per column."""
     frame = nan_to_null(frame)
@@ -105,11 +145,12 @@ def build_column_report(
     approximate: bool = False,
     weight: str | None = None,
     nulls_before: dict[str, int] | None = None,
+    types: Sequence[ColumnType] | None = None,
 ) -> DataFrame:
     """One row per column of either frame: type, nulls before and after, distinct values after.
 
     ``weight`` names a column of ``before`` that counts the copies of each row. With ``nulls_before``, the null counts of
-    its columns by name, ``before`` is not read.
+    its columns by name, ``before`` is not read. With ``types``, those inferred of its cells stand in one more column.
     """
     before, after = nan_to_null(before), nan_to_null(after)
     times = F.col(weight) if weight else F.lit(1)
@@ -146,6 +187,10 @@ def build_column_report(
         )
     )
     place = F.array_position(F.array(*[F.lit(name) for name in names]), F.col("Column"))
+    inferred = []
+    if types:
+        known = F.create_map(*[F.lit(text) for t in types for text in (t.column, t.type)])
+        inferred = [F.coalesce(F.try_element_at(known, F.col("Column")), F.lit("void")).alias("Inferred Type Before")]
     return (
         nulls.join(facts, "Column", "full")
         .orderBy(place)
@@ -156,5 +201,6 @@ def build_column_report(
                 F.coalesce(name, F.lit(0)).cast("long").alias(name)
                 for name in ("Missing Before", "Missing After", "Unique Values After")
             ],
+            *inferred,
         )
     )

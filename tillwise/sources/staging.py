@@ -52,12 +52,16 @@ class StageArea:
         self.close()
 
 
-def stage(frame: DataFrame, name: str) -> DataFrame:
-    """Write the frame below ``spark.checkpoint.dir`` and return a reader of the files."""
+def stage(frame: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+    """Write the frame below ``spark.checkpoint.dir`` and return a reader of the files.
+
+    ``row_group`` is the size in bytes at which a file can be split: with a small one, many tasks can read what few have written.
+    """
     spark = frame.sparkSession
     path = f"{_folder.get() or shared_dir(spark) + '/tillwise-stage'}/{name}-{uuid4()}"
     # Column names come from user files and may hold characters Parquet readers dislike.
     plain = [f"c{place}" for place in range(len(frame.columns))]
-    frame.toDF(*plain).write.parquet(path)
+    options = {"parquet.block.size": row_group} if row_group else {}
+    frame.toDF(*plain).write.options(**options).parquet(path)
     kinds = ", ".join(f"{short} {field.dataType.simpleString()}" for short, field in zip(plain, frame.schema))
     return spark.read.schema(kinds).parquet(path).toDF(*frame.columns)
