@@ -39,7 +39,7 @@ from tillwise.sources.staging import stage
 PIVOTS = 8
 LABELS = 20_000  # totals that are broadcast; a row each
 SALTS = 64
-ROWS = 2048  # parts that are assigned together: their bounds take ROWS * entries * 8 bytes
+ROWS = 512  # parts that are assigned together: their bounds take ROWS * entries * 8 bytes
 
 
 def whole_numbers(vectors: DataFrame, scale: int, id_column: str, vector_column: str, label_column: str) -> DataFrame:
@@ -88,14 +88,16 @@ def assign(
     ``tried`` is given the number of exact distances that were computed.
     """
     bound = np.zeros((len(parts), len(book)))
+    gap = np.empty_like(bound)
     for pivot in range(to_pivots.shape[1]):
-        np.maximum(bound, np.abs(to_pivots[:, pivot, None] - book_to_pivots[None, :, pivot]), out=bound)
+        np.subtract(to_pivots[:, pivot, None], book_to_pivots[None, :, pivot], out=gap)
+        np.maximum(bound, np.abs(gap, out=gap), out=bound)
     # The roots were rounded: a bound may be too large by a few units in the last place of the distances.
     slack = 1e-14 * (to_pivots.max(axis=1, initial=0.0) + book_to_pivots.max(initial=0.0))
-    order = np.argsort(bound, axis=1, kind="stable")
+    order = np.argsort(bound, axis=1)  # the result does not depend on the order of equal bounds
     best = np.full(len(parts), np.iinfo(np.int64).max)
     index = np.zeros(len(parts), np.int64)
-    rows, begin, width = np.arange(len(parts)), 0, 1
+    rows, begin, width = np.arange(len(parts)), 0, 4
     while begin < len(book) and len(rows):
         cols = order[rows, begin : begin + width]
         row = np.repeat(rows, cols.shape[1])
