@@ -187,6 +187,7 @@ fallen AS (
 FALLEN = """SELECT dimension, member, ROUND(previous_value, 4) AS previous_value, ROUND(current_value, 4) AS current_value,
  ROUND(change, 4) AS change, ROUND(pct_change, 4) AS pct_change, ROUND(abs_change, 4) AS abs_change,
  ROUND(contribution_pct, 4) AS contribution_pct FROM fallen"""
+RANKED = FALLEN.replace(" FROM fallen", ", ROW_NUMBER() OVER (PARTITION BY dimension ORDER BY change, member) AS \"rank\" FROM fallen")
 FIRST_FALLEN = " QUALIFY ROW_NUMBER() OVER (PARTITION BY dimension ORDER BY change, member) = 1"
 
 
@@ -572,10 +573,10 @@ FROM (SELECT * FROM by_month ORDER BY r DESC, s LIMIT 1) b, (SELECT * FROM by_mo
     ),
     "trend_insights": insights(),
     "rca_summary": rca_summary(),
-    "rca_contributors": with_sales(FALLEN, MONTHS, drivers()),
+    "rca_contributors": with_sales(RANKED, MONTHS, drivers()),
     "rca_top": with_sales(FALLEN + FIRST_FALLEN, MONTHS, drivers()),
     "rca_explanations": rca_explanations(),
-    "rca_profit_contributors": with_sales(FALLEN, MONTHS, drivers("Profit")),
+    "rca_profit_contributors": with_sales(RANKED, MONTHS, drivers("Profit")),
     "null_counts": with_sales(
         f"""SELECT * FROM ({per_column("dirty", NULLS + " AS missing", '"column"')})""", DIRTY
     ),

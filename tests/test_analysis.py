@@ -163,6 +163,9 @@ def test_root_cause_of_a_decline(sales):
     assert (summary["previous_month"], summary["current_month"]) == ("2026-01", "2026-02")
     rows = {(r["dimension"], r["member"]): r for r in found.contributors.collect()}
     assert rows["Product", "Laptop"]["change"] == -200.0 and len(rows) == 5
+    assert {key: row["rank"] for key, row in rows.items()} == {
+        ("Category", "Electronics"): 1, ("Customer_ID", "C1"): 1, ("Customer_ID", "C2"): 2, ("Product", "Laptop"): 1, ("Product", "Mouse"): 2
+    }
     assert math.isclose(rows["Product", "Laptop"]["contribution_pct"], 200 / 210 * 100)
     top = {r["dimension"]: r["member"] for r in found.top.collect()}
     assert top == {"Category": "Electronics", "Product": "Laptop", "Customer_ID": "C1"}
@@ -193,6 +196,13 @@ def test_root_cause_other_states(spark, sales):
     ]
 
 
+def test_ranks_of_very_many_members_with_ties(spark):
+    rows = [(date(2026, m, 1), "1", f"c{k:04d}", "p", "x", 10.0 if m == 1 else float(k % 3), 0.0) for k in range(2000) for m in (1, 2)]
+    found = analyze_root_cause(spark.createDataFrame(rows, LINE)).contributors.where("dimension = 'Customer_ID'").collect()
+    want = sorted((k % 3 - 10.0, f"c{k:04d}") for k in range(2000))
+    assert [(r["rank"], r["change"], r["member"]) for r in found] == [(n, *row) for n, row in enumerate(want, 1)]
+
+
 def test_forecast_of_the_shop(shop):
     made = FC.generate_forecast(shop)
     rows = made.rows.collect()

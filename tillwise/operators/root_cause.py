@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Row, functions as F
 
@@ -10,6 +11,7 @@ from tillwise.fixed_values import DRIVER_DIMENSIONS, DRIVER_METRICS, DRIVER_TEXT
 from tillwise.functions.numbers import percent, ratio
 from tillwise.functions.periods import month_start
 from tillwise.functions.text import amount, fill
+from tillwise.operators.numbering import number_rows
 
 SUMMARY_TYPE = (
     "status string, drop_detected boolean, metric string, total_change double, pct_change double, "
@@ -19,21 +21,27 @@ CONTRIBUTOR_TYPE = (
     "dimension string, member string, previous_value double, current_value double, change double, "
     "pct_change double, abs_change double, contribution_pct double"
 )
+DRAG_ORDER = ["dimension", "change", "member"]
 
 
 @dataclass
 class RootCause:
     summary: DataFrame
-    contributors: DataFrame
+    fallen: DataFrame  # members that fell, unordered
     top: DataFrame
     explanations: DataFrame
 
+    @cached_property
+    def contributors(self) -> DataFrame:
+        """Members that fell with their rank in their dimension, the largest drag first; ranked when first asked for."""
+        return _ranked(self.fallen).orderBy("dimension", "rank")
+
 
 def analyze_root_cause(sales: DataFrame, metric: str = "Revenue") -> RootCause:
     """Who dragged the metric down from the previous to the latest month present.
 
     The month totals are computed at once; the frames are lazy. ``contributors`` is a long frame with
-    every member that fell; it is empty unless the total fell.
+    every member that fell and its rank; it is empty unless the total fell.
     """
     if metric not in DRIVER_METRICS:
         raise ValueError(METRIC_ERROR)
@@ -52,7 +60,7 @@ def analyze_root_cause(sales: DataFrame, metric: str = "Revenue") -> RootCause:
     top = _top(contributors)
     return RootCause(
         summary=summary,
-        contributors=contributors.orderBy("dimension", "change", "member"),
+        fallen=contributors,
         top=top,
         explanations=_explanations(summary, top, metric).orderBy("ord"),
     )
@@ -127,6 +135,17 @@ def _contributors(lines: DataFrame, latest: list[Row], metric: str) -> DataFrame
     )
 
 
+def _ranked(fallen: DataFrame) -> DataFrame:
+    """Add ``rank`` per dimension.
+
+    The members are numbered in one order over all dimensions, sorted over many tasks; a dimension's ranks begin after its first number.
+    So a dimension with very many members is never sorted by one task. The join has one row per dimension.
+    """
+    numbered = number_rows(fallen, DRAG_ORDER, "number")
+    starts = numbered.groupBy("dimension").agg(F.min("number").alias("start"))
+    return numbered.join(F.broadcast(starts), "dimension").select(*fallen.columns, (F.col("number") - F.col("start") + 1).alias("rank"))
+
+
 def _top(contributors: DataFrame) -> DataFrame:
     """Largest drag per dimension, the first member on ties.
 
