@@ -128,7 +128,7 @@ def test_each_stage_takes_an_empty_table(spark, no_docs):
 
 def test_stages_and_queries_are_registered(spark):
     assert [name for name, _ in C.STAGES] == ["language_id", "simhash_dedup", "substring_dedup", "mixing", "packing"]
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(ORACLE) <= set(QUERIES)
 
 
