@@ -573,6 +573,7 @@ FROM (SELECT * FROM by_month ORDER BY r DESC, s LIMIT 1) b, (SELECT * FROM by_mo
     ),
     "trend_insights": insights(),
     "rca_summary": rca_summary(),
+    "rca_no_decline": rca_summary().replace("AS DECIMAL(18,4)) AS Revenue", "AS DECIMAL(18,4)) * -1 AS Revenue", 1),
     "rca_contributors": with_sales(RANKED, MONTHS, drivers()),
     "rca_top": with_sales(FALLEN + FIRST_FALLEN, MONTHS, drivers()),
     "rca_explanations": rca_explanations(),
@@ -593,6 +594,14 @@ UNION ALL SELECT 'Duplicate Rows', NULL, {DUPLICATES} UNION ALL SELECT 'Invalid
     ),
     "column_report": with_sales(COLUMN_REPORT, CLEAN),
     "clean_summary": clean_summary(),
+    "clean_absent_columns": with_sales(
+        """
+SELECT (SELECT COUNT(*) FROM dirty) AS rows_before, COUNT(*) FILTER (WHERE TRY_STRPTIME("Date", '%Y-%m-%d') IS NOT NULL) AS rows_after,
+       CAST(7 AS BIGINT) AS columns, (SELECT COUNT(*) FROM dirty) - COUNT(*) AS duplicate_rows_removed,
+       'Customer_ID, Cost' AS missing_expected_columns
+FROM (SELECT DISTINCT * EXCLUDE (Customer_ID, Cost) FROM dirty)""",
+        DIRTY,
+    ),
     "clean_actions": clean_actions(),
     "clean_rows": with_sales(
         'SELECT * REPLACE (ROUND(Revenue, 4) AS Revenue, ROUND(Cost, 4) AS Cost, ROUND(Profit, 4) AS Profit, '

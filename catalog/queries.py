@@ -126,6 +126,11 @@ over_sales("rca_explanations", lambda lines: analyze_root_cause(lines).explanati
 over_sales(
     "rca_profit_contributors", lambda lines: analyze_root_cause(lines, "Profit").contributors, *DRIVERS, "Profit"
 )
+over_sales(
+    "rca_no_decline",
+    lambda lines: analyze_root_cause(lines.withColumn("Revenue", -F.col("Revenue"))).summary,
+    *DRIVERS,
+)
 
 
 # --- profile and cleaning of the raw text lines -----------------------------------
@@ -169,6 +174,14 @@ def clean_summary(spark: SparkSession, folder: str) -> DataFrame:
     return summary.withColumn("missing_expected_columns", F.concat_ws(", ", "missing_expected_columns"))
 
 
+@query
+def clean_absent_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Cleaning of lines without two of the expected columns."""
+    summary = cleaning.clean_sales_data(dirty_lines(spark, folder).drop("Customer-ID", "Cost")).summary
+    missing = F.concat_ws(", ", "missing_expected_columns").alias("missing_expected_columns")
+    return summary.select("rows_before", "rows_after", "columns", "duplicate_rows_removed", missing)
+
+
 @query
 def clean_actions(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(cleaning.clean_sales_data(dirty_lines(spark, folder)).actions)
