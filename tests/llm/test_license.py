@@ -80,3 +80,10 @@ def test_a_template_needs_tokens(docs):
 
 def test_empty_table(no_docs):
     assert L.scan(no_docs, ["doc_id"]).count() == 0
+
+
+def test_phrases_that_share_words(spark):
+    phrases = {"a b": "ab", "b c": "bc", "c": "c"}
+    assert L._overlap(list(phrases)) and L._overlap(["a b c", "b"]) and not L._overlap(list(L.PHRASES)) and not L._overlap(["a b a"])
+    row = L.scan(as_rows(spark, ["A b, c"] * 12), ["doc_id"], phrases=phrases).first()
+    assert (row.n_base, row.first_word, row.base_labels) == (3, 0, "ab,bc,c")

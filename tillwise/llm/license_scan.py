@@ -64,6 +64,14 @@ def _count(text: str, words: str) -> Column:
     return F.regexp_count(text, F.lit(_whole(words))).cast("long")
 
 
+def _overlap(phrases: list[str]) -> bool:
+    """Whether a place of one phrase can share words with a place of another one."""
+    lists = [phrase.split(" ") for phrase in phrases]
+    return any(
+        a is not b and any(a[k : k + len(b)] == b[: len(a) - k] for k in range(len(a))) for a in lists for b in lists
+    )
+
+
 def _strings(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
@@ -106,16 +114,25 @@ def scan(
     present = F.array_distinct(
         F.transform(F.regexp_extract_all("text", F.lit(f"({_whole(any_token)})"), F.lit(1)), lambda w: F.translate(w, UPPER, LOWER))
     )
+    # All phrases are looked for at once, unless a place of one could hide a place of another.
+    hits = F.regexp_extract_all("text", F.lit(f"({_whole(any_phrase)})"), F.lit(1))
     parts = F.split("text", _whole(any_phrase))
-    last = F.element_at(F.regexp_extract_all("text", F.lit(f"({_whole(any_phrase)})"), F.lit(1)), -1)
+    last = F.element_at("hits", -1)
+
+    def places_of(pattern: str) -> Column:
+        if _overlap(list(phrases)):
+            return _count("text", pattern)
+        return F.size(F.filter("hits", lambda hit: hit.rlike(f"(?i)^(?:{pattern})$"))).cast("long")
+
     base = rows.select(
         "row",
         *key,
         _words(F.col("text")).alias("n_words"),
         present.alias("present"),
-        *[(_count("text", pattern)).alias(f"places_{k}") for k, pattern in enumerate(apart.values())],
+        hits.alias("hits"),
         "text",
     )
+    base = base.withColumns({f"places_{k}": places_of(pattern) for k, pattern in enumerate(apart.values())})
     places = sum((F.col(f"places_{k}") for k in range(len(apart))), F.lit(0).cast("long"))
     seen = F.col("n_base") > 0
     found = F.array_sort(
