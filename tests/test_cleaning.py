@@ -191,3 +191,27 @@ def test_column_report_with_inferred_types(spark):
     frame = raw(spark, [("2026-01-01", "7", "1.5"), ("2026-01-02", "8", "2")], "Date", "Order_ID", "Quantity")
     report = {r["Column"]: r["Inferred Type Before"] for r in clean_sales_data(frame, by_type=True).column_report.collect()}
     assert report == {"Date": "date", "Order_ID": "int", "Quantity": "float"}
+
+
+def test_cells_are_counted_like_distinct_values(spark):
+    names = ["b", "i", "l", "d", "f", "dec", "wide", "day", "at", "t", "raw", "many", "nothing"]
+    values = [
+        "true, 1, 9223372036854775807, 0.0D, float('nan'), 1.5, 12345678901234567890.5, date'1900-01-01', timestamp'2024-01-01 00:00:00', '', x'00', array('a, b'), null",
+        "false, -1, -9223372036854775808, -0.0D, float('inf'), -1.5, -12345678901234567890.5, date'9999-12-31', timestamp'2024-01-01 00:00:01', ' ', x'', array('a', 'b'), null",
+        "null, 0, 0, double('nan'), float(0.1), 0, null, null, null, 'é', null, array(null), null",
+        "null, null, null, 0.1D, null, null, null, null, null, null, null, null, null",
+    ]
+    frame = spark.sql(" union all ".join(f"select {value}" for value in [*values, *values])).toDF(*names)
+    names[0] = "text"  # clashes with a name inside
+    frame = frame.toDF(*names)
+    found = {r["Column"]: (r["Missing After"], r["Unique Values After"]) for r in P.count_cells(frame).collect()}
+    counts = [F.struct(F.count_if(F.col(n).isNull()), F.count_distinct(n)).alias(n) for n in names if n != "nothing"]
+    assert found == {**{n: tuple(v) for n, v in frame.agg(*counts).first().asDict().items()}, "nothing": (8, 0)}
+    plan = P.count_cells(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+
+
+def test_column_report_of_no_rows(spark):
+    empty = spark.createDataFrame([], "v long, w string")
+    report = P.build_column_report(empty, empty).collect()
+    assert [tuple(row) for row in report] == [("v", "bigint", 0, 0, 0), ("w", "string", 0, 0, 0)]

@@ -5,7 +5,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    BooleanType,
+    DateType,
+    DecimalType,
+    DoubleType,
+    FloatType,
+    MapType,
+    NumericType,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from tillwise.fixed_values import DATE_FORMATS
 from tillwise.functions.periods import parse_date
@@ -37,6 +50,8 @@ def group_copies(frame: DataFrame, counter: str = "copies") -> DataFrame:
     return frame.groupBy(*[col(name) for name in frame.columns]).agg(F.count("*").alias(counter))
 
 
+DECIMAL_LONG = 18  # digits of a decimal that is kept in 64 bits
+
 PRINTS = ["row print 1", "row print 2"]
 REPEATS = 1_000_000  # repeated fingerprints that are broadcast: two longs each
 
@@ -139,6 +154,57 @@ def quality_score(frame: DataFrame) -> DataFrame:
     return frame.agg(F.round(F.coalesce(share, F.lit(0.0)), 1).alias("quality_score"))
 
 
+def count_cells(frame: DataFrame) -> DataFrame:
+    """(Column, Missing After, Unique Values After): null cells and exact distinct values of every column, from one pass.
+
+    Cells are counted by column and value in every task, so that only its distinct values are shuffled, each with nothing of the other
+    columns beside it. A number or date is sent as its 64-bit hash, which tells any two values of at most 64 bits
+    apart (each step of the hash can be undone); all else is sent and compared in full, so there are no false matches.
+    """
+
+    def cell(place: int, name: str) -> Column:
+        value, kind = col(name), frame.schema[name].dataType
+        number, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+        if isinstance(kind, NumericType | DateType | TimestampType | TimestampNTZType | BooleanType) and not (
+            isinstance(kind, DecimalType) and kind.precision > DECIMAL_LONG
+        ):
+            number = F.when(value.isNotNull(), F.xxhash64(value))
+        elif isinstance(kind, ArrayType | MapType | StructType):
+            text = F.to_json(F.struct(value), {"ignoreNullFields": "false"})
+            text = F.when(value.isNotNull(), text)
+        else:
+            text = F.hex(value) if isinstance(kind, BinaryType) else value.cast("string")
+        fields = {"place": F.lit(place), "number": number, "text": text}
+        return F.struct(*[field.alias(name) for name, field in fields.items()])
+
+    cells = frame.select(F.inline(F.array(*[cell(place, name) for place, name in enumerate(frame.columns)])))
+    values = cells.groupBy("place", "number", "text").agg(F.count("*").alias("rows"))
+    missing = F.col("number").isNull() & F.col("text").isNull()
+    counts = values.groupBy("place").agg(
+        F.coalesce(F.sum(F.when(missing, F.col("rows"))), F.lit(0)).alias("Missing After"),
+        F.count_if(~missing).alias("Unique Values After"),
+    )
+    return counts.select(
+        F.element_at(F.array(*map(F.lit, frame.columns)), F.col("place") + 1).alias("Column"),
+        "Missing After",
+        "Unique Values After",
+    )
+
+
+def _sketched_cells(frame: DataFrame) -> DataFrame:
+    """The columns of ``count_cells``, with distinct counts from sketches."""
+    facts = frame.agg(
+        *[F.count_if(col(n).isNull()).alias(f"m{i}") for i, n in enumerate(frame.columns)],
+        *[F.approx_count_distinct(col(n)).alias(f"d{i}") for i, n in enumerate(frame.columns)],
+    )
+    rows = [[F.lit(n), F.col(f"m{i}"), F.col(f"d{i}")] for i, n in enumerate(frame.columns)]
+    return facts.select(F.inline(_entries(rows, ["Column", "Missing After", "Unique Values After"])))
+
+
+def _entries(cells: list[list[Column]], fields: list[str]) -> Column:
+    return F.array(*[F.struct(*[c.alias(f) for c, f in zip(cell, fields)]) for cell in cells])
+
+
 def build_column_report(
     before: DataFrame,
     after: DataFrame,
@@ -156,36 +222,21 @@ def build_column_report(
     times = F.col(weight) if weight else F.lit(1)
     old = [name for name in before.columns if name != weight]
     names = list(dict.fromkeys([*old, *after.columns]))
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-
-    def entries(cells: list[list[Column]], fields: list[str]) -> Column:
-        return F.array(*[F.struct(*[c.alias(f) for c, f in zip(cell, fields)]) for cell in cells])
 
     if nulls_before is None:
         nulls = before.agg(
             *[F.coalesce(F.sum(F.when(col(n).isNull(), times)), F.lit(0)).alias(f"m{i}") for i, n in enumerate(old)]
         )
         nulls = nulls.select(
-            F.inline(entries([[F.lit(n), F.col(f"m{i}")] for i, n in enumerate(old)], ["Column", "Missing Before"]))
+            F.inline(_entries([[F.lit(n), F.col(f"m{i}")] for i, n in enumerate(old)], ["Column", "Missing Before"]))
         )
     else:
         known = [(name, nulls_before[name]) for name in old]
         nulls = after.sparkSession.createDataFrame(known, "Column string, `Missing Before` long")
-    facts = after.agg(
-        *[F.count_if(col(n).isNull()).alias(f"m{i}") for i, n in enumerate(after.columns)],
-        *[distinct(col(n)).alias(f"d{i}") for i, n in enumerate(after.columns)],
-    )
-    facts = facts.select(
-        F.inline(
-            entries(
-                [
-                    [F.lit(n), F.lit(after.schema[n].dataType.simpleString()), F.col(f"m{i}"), F.col(f"d{i}")]
-                    for i, n in enumerate(after.columns)
-                ],
-                ["Column", "Data Type After Cleaning", "Missing After", "Unique Values After"],
-            )
-        )
+    kinds = after.sparkSession.createDataFrame(
+        [(field.name, field.dataType.simpleString()) for field in after.schema], "Column string, `Data Type After Cleaning` string"
     )
+    facts = kinds.join(_sketched_cells(after) if approximate else count_cells(after), "Column", "left")
     place = F.array_position(F.array(*[F.lit(name) for name in names]), F.col("Column"))
     inferred = []
     if types:

@@ -11,11 +11,24 @@ from tillwise.fixed_values import SALES_COLUMNS
 FROM_ORDERS = {"Date", "Customer_ID"}
 FROM_PART = {"Product", "Category", "Cost", "Profit"}
 
+ROW_GROUP = 128 << 20  # bytes: what Parquet writers put into one piece by default, and one task reads a piece
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """Deal out the rows by their unique keys where the table is too small to give every core a piece of a file.
+
+    Without it, one file of one piece keeps a single core busy up to the first shuffle. A table with pieces for all cores is read
+    where it lies. The keys fix the place of every row, so a task that is run again sends the same rows to the same place.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores, *keys) if size < cores * ROW_GROUP else table
+
+
 def sales_lines(spark: SparkSession, folder: str, columns: Iterable[str] = SALES_COLUMNS) -> DataFrame:
     """One row per order line, with the requested sales columns.
 
@@ -27,7 +40,7 @@ def sales_lines(spark: SparkSession, folder: str, columns: Iterable[str] = SALES
     of the order in which partitions arrive.
     """
     wanted = [name for name in SALES_COLUMNS if name in set(columns)]
-    lines = read_table(spark, folder, "lineitem")
+    lines = spread(read_table(spark, folder, "lineitem"), "l_orderkey", "l_linenumber")
     if FROM_ORDERS.intersection(wanted):
         orders = read_table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
         lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
