@@ -271,3 +271,13 @@ def test_recommendations(spark, sales, shop):
     losing = sales.withColumn("Profit", F.when(F.col("Product") == "Mouse", -1.0).otherwise(F.col("Profit")))
     loss = B.loss_products(B.product_totals(losing)).collect()
     assert loss[0]["trigger_reason"] == "Product 'Mouse' operates at a net loss (Margin: -2.2%, Profit: -$3.00)."
+
+
+def test_member_totals_equal_the_separate_sums(spark):
+    rows = [("P", "a", 1.0, -2.0), ("P", "b", 2.0, None), (None, "a", 4.0, 1.0), ("Q", "Unknown", 8.0, 1.0), ("R", None, None, 3.0)]
+    sales = spark.createDataFrame(rows, "Product string, Customer_ID string, Revenue double, Profit double")
+    totals = B.member_totals(sales)
+    assert sorted(B.products_of(totals).collect()) == sorted(B.product_totals(sales).collect())
+    assert sorted(B.customers_of(totals).collect()) == sorted(B.customer_totals(sales).collect())
+    assert B.member_totals(sales.limit(0)).isEmpty() and B.member_totals(sales.select("Revenue").limit(0)).isEmpty()
+    assert sorted(B.customers_of(B.member_totals(sales.drop("Product", "Profit"))).collect()) == [("a", 5.0), ("b", 2.0)]

@@ -13,6 +13,7 @@ from tillwise.fixed_values import (
     FORECAST_SHORT_WINDOW,
     FORECAST_TEXTS,
 )
+from tillwise.sources.staging import stage
 
 
 @dataclass
@@ -42,9 +43,13 @@ def daily_spine(sales: DataFrame, series: str | None = None) -> DataFrame:
     Each day with sales also emits the empty days up to the next one, so no calendar is joined.
     The window holds one row per day of one series, never single lines.
     """
+    return _spine(daily_revenue(sales, series))
+
+
+def _spine(daily: DataFrame) -> DataFrame:
     whole = Window.partitionBy("series")
     following = F.lead("Date").over(whole.orderBy("Date"))
-    gaps = daily_revenue(sales, series).select(
+    gaps = daily.select(
         "series",
         "Date",
         "revenue",
@@ -80,7 +85,11 @@ def forecast_models(sales: DataFrame, horizon_days: int = FORECAST_HORIZON, seri
 
     Only the recurrence over the horizon is sequential, inside one row; its seed is at most 14 values.
     """
-    spine = daily_spine(sales, series).where(F.col("sale_days") >= FORECAST_MIN_DAYS)
+    return _models(daily_spine(sales, series), horizon_days)
+
+
+def _models(spine: DataFrame, horizon_days: int) -> DataFrame:
+    spine = spine.where(F.col("sale_days") >= FORECAST_MIN_DAYS)
     recent = F.date_diff(F.col("last"), F.col("Date")) < FORECAST_LONG_WINDOW
     fitted = spine.groupBy("series").agg(
         F.max("last").alias("last"),
@@ -177,9 +186,11 @@ def generate_forecast(
         series, reason = None, FORECAST_TEXTS["no_data"]
     else:
         reason = FORECAST_TEXTS["few_days"]
-    spine = daily_spine(sales, series)
-    models = forecast_models(sales, horizon_days, series)
-    days = daily_revenue(sales, series).groupBy("series").agg(F.count("*").alias("sale_days"))
+    # One row per series and day: written once, read by history, models and status.
+    daily = stage(daily_revenue(sales, series), "daily-revenue")
+    spine = _spine(daily)
+    models = _models(spine, horizon_days)
+    days = daily.groupBy("series").agg(F.count("*").alias("sale_days"))
     if series is None:  # the one series has a status row also when there is no line at all
         days = days.agg(F.lit("all").alias("series"), F.coalesce(F.max("sale_days"), F.lit(0)).alias("sale_days"))
     enough = F.col("sale_days") >= FORECAST_MIN_DAYS

@@ -63,6 +63,33 @@ def customer_totals(sales: DataFrame) -> DataFrame:
     )
 
 
+def member_totals(sales: DataFrame) -> DataFrame:
+    """Sums per product, per customer and of all lines, from one pass; staged. No lines give no rows.
+
+    ``products_of`` and ``customers_of`` read the members out of it.
+    """
+    dimensions = [name for name in ("Product", "Customer_ID") if name in sales.columns]
+    profit = F.sum("Profit") if "Profit" in sales.columns else F.lit(None)
+    sums = [total(F.col("Revenue")).cast("double").alias("revenue"), profit.cast("double").alias("profit")]
+    if not dimensions:
+        return stage(sales.groupBy().agg(F.count("*").alias("rows"), *sums).where("rows > 0"), "member-totals")
+    grouped = sales.groupingSets([*[[name] for name in dimensions], []], *dimensions)
+    without = [F.grouping(name).alias(f"without {name}") for name in dimensions]
+    return stage(grouped.agg(*without, *sums), "member-totals")
+
+
+def products_of(totals: DataFrame) -> DataFrame:
+    """What ``product_totals`` gives, from ``member_totals``."""
+    known = (F.col("without Product") == 0) & F.col("Product").isNotNull()
+    return totals.where(known).select(F.col("Product").alias("member"), "revenue", "profit")
+
+
+def customers_of(totals: DataFrame) -> DataFrame:
+    """What ``customer_totals`` gives, from ``member_totals``."""
+    known = (F.col("without Customer_ID") == 0) & (F.col("Customer_ID") != UNKNOWN)
+    return totals.where(known).select(F.col("Customer_ID").alias("member"), "revenue")
+
+
 def loss_products(products: DataFrame, shown: int = LOSS_PRODUCTS_SHOWN) -> DataFrame:
     """The worst products with a negative profit."""
     worst = products.where(F.col("profit") < 0).orderBy("profit", "member").limit(shown)
@@ -143,20 +170,21 @@ def generate_recommendations(
 ) -> DataFrame:
     """All triggered rules in rule order; nothing when there are no sales lines.
 
-    The KPI row is computed once; totals per product and customer are staged, each from one pass.
+    The KPI row is computed once; totals per product and customer come from one more pass and are staged.
     """
-    if sales.isEmpty():
-        return sales.sparkSession.createDataFrame([], RECOMMENDATION_TYPE)
     has = set(sales.columns).issuperset
+    totals = member_totals(sales) if has({"Revenue"}) else None
+    if (sales if totals is None else totals).isEmpty():
+        return sales.sparkSession.createDataFrame([], RECOMMENDATION_TYPE)
     kpis = sales.sparkSession.createDataFrame(kpis.collect(), kpis.schema)  # one row
     parts = [low_margin(kpis, low_margin_pct, urgent_margin_pct)]
     if has({"Product", "Revenue"}):
-        products = stage(product_totals(sales), "products")
+        products = products_of(totals)
         if has({"Profit"}):
             parts.append(loss_products(products))
         if has({"Quantity"}):
             parts.append(high_share_products(products, kpis, product_share))
     if has({"Customer_ID", "Revenue"}):
-        parts.append(customer_concentration(customer_totals(sales), kpis, customer_share_pct, customer_high_pct))
+        parts.append(customer_concentration(customers_of(totals), kpis, customer_share_pct, customer_high_pct))
     parts += [duplicate_audit(summary), date_audit(summary)]
     return reduce(DataFrame.unionByName, parts).orderBy("rule_no", "rank", "title")
