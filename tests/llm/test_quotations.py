@@ -88,7 +88,9 @@ def test_random_conversations_match_brute_force(spark):
         while parents[key[0], at] is not None:
             depth, at = depth + 1, parents[key[0], at]
         assert (row.thread, row.depth) == (at, depth)
-    ordered = Q.in_order(Q.conversations(frame(spark, rows)), 3).collect()
+    ordered = Q.in_order(Q.conversations(frame(spark, rows))).collect()
+    assert [(r.conv_id, r.position) for r in ordered] == [(conv, k) for conv in range(6) for k in range(40)]
+    assert [(r.conv_id, r.thread, r.turn) for r in ordered] == sorted((c, got[c, t].thread, t) for c, t in got)
     seen = set()
     for row in ordered:
         assert row.reply_to is None or (row.conv_id, row.reply_to) in seen
@@ -118,6 +120,8 @@ def test_odd_rows(spark):
     found = Q.conversations(frame(spark, rows)).collect()
     assert len(found) == len(rows)
     assert all(r.reply_to is None for r in found if r.conv_id in (None, 3, 4))
+    assert all((r.position is None) == (r.conv_id is None or r.turn is None) for r in found)
+    assert sorted(r.position for r in found if r.conv_id == 5) == [0, 0, 1, 1, 2]
     assert [r.reply_to for r in found if (r.conv_id, r.turn) == (5, 1)] == [0, 0]
     assert next(r for r in found if r.conv_id == 4 and r.turn == 1).text == ""
 

@@ -108,7 +108,7 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
-    return quotations.conversations(table(spark, folder, "conversations"))
+    return quotations.in_order(quotations.conversations(table(spark, folder, "conversations")))
 
 
 @query

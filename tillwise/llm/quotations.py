@@ -9,18 +9,21 @@ Method
     Links       A hash of a quote is joined to the nearest earlier message of the same conversation whose own words have it.
                 A message answers the one that most of its lowest-level quoted characters come from.
     Order       Answers belong to the thread of the message they answer, found by pointer doubling. Ordered by thread, then turn,
-                every message stands after the one it answers. A message that quotes nothing starts a thread.
+                every message stands after the one it answers: that gives its ``position`` in the conversation, from 0. A message
+                that quotes nothing starts a thread.
     Output      Messages without quoted lines.
 
 Scale
-    Only lines of messages with quotes are exploded. The nearest earlier message comes from running maxima over ranges of
+    Own words are hashed in conversations with a quote alone, and written once. The nearest earlier message comes from running maxima over ranges of
     turns, first inside a range, then over the ranges, so a line that stands in every turn of a hot conversation is
     split by range; there is no join of equal lines with each other. Pointer doubling needs as many rounds as
-    the logarithm of the longest chain of answers, over linked messages only, each written to the shared folder.
+    the logarithm of the longest chain of answers, over linked messages only, each written to the shared folder. Positions are numbers in
+    one order of all messages, sorted as three numbers each over many tasks, less the first number of the conversation, so a
+    hot conversation is no window of its own.
 
 Defined results: a null or empty text has no quotes and stays as it is; a message of only quotes has an empty text; a
 quote whose original is not in the conversation gives no link; rows with one conversation and turn are one message (their quotes
-count together); a row with a null conversation or turn is never linked and is its own thread; an empty table gives no
+count together); a row with a null conversation or turn is never linked, is its own thread and has no position; an empty table gives no
 rows; further columns are ignored.
 """
 
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tillwise.operators.numbering import number_rows
 from tillwise.sources.staging import stage
 
 MARKS = r"^[ \t>]*>[ \t]?"  # no repeated group: those overflow the stack on long lines
@@ -35,6 +39,7 @@ QUOTING = r"(?m)^[ \t]*>"
 #: Words that announce a quote at the end of a line.
 ANNOUNCES = r"(?i)\b(?:wrote|writes|said|schrieb|écrit|escribió)\s*:\s*$"
 RANGE = 1000  # turns
+KNOWN = "conv_id is not null and turn is not null"
 
 
 def _plain(text: Column) -> Column:
@@ -111,8 +116,10 @@ def links(parsed: DataFrame) -> DataFrame:
 
     ``n_quotes`` counts the distinct quoted passages, paragraphs and lines, ``n_linked`` those found in an earlier message.
     """
-    known = "conv_id is not null and turn is not null"
-    quotes, originals = _quotes(parsed.where(known)), _originals(parsed.where(known))
+    known = parsed.where(KNOWN)
+    quotes = stage(_quotes(known), "quoted-passages")
+    quoting = quotes.select("conv_id").distinct()
+    originals = stage(_originals(known.join(quoting, "conv_id", "left_semi")), "own-passages")
     events = quotes.select("conv_id", "hash", "turn", "level", "chars", F.lit(None).cast("long").alias("said")).unionByName(
         originals.select("conv_id", "hash", "turn", F.col("turn").alias("said")), allowMissingColumns=True
     )
@@ -166,18 +173,34 @@ def _threads(replies: DataFrame) -> DataFrame:
         now = following.drop("moved")
 
 
+def _positions(messages: DataFrame, linked: DataFrame) -> DataFrame:
+    """``conv_id, turn, position``: the place of every message in the reply order of its conversation, from 0."""
+    keys = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"))
+    places = (
+        keys.where(KNOWN)
+        .distinct()
+        .join(linked.select("conv_id", "turn", "thread"), ["conv_id", "turn"], "left")
+        .select("conv_id", F.coalesce("thread", "turn").alias("thread"), "turn")
+    )
+    numbered = number_rows(places, ["conv_id", "thread", "turn"], "number")
+    first = numbered.groupBy("conv_id").agg(F.min("number").alias("first"))
+    return numbered.join(first, "conv_id").select("conv_id", "turn", (F.col("number") - F.col("first")).alias("position"))
+
+
 def conversations(messages: DataFrame) -> DataFrame:
-    """One row per message: ``conv_id, turn, role, text`` (without quotes), ``reply_to, thread, depth, n_quotes, n_linked``.
+    """One row per message: ``conv_id, turn, position, role, text`` (without quotes), ``reply_to, thread, depth, n_quotes, n_linked``.
 
-    Ordered by conversation, ``thread`` and ``turn``, replies follow what they answer.
+    Ordered by conversation and ``position``, replies follow what they answer; ``in_order`` does that.
     """
     parsed = parse(messages)
-    linked = stage(links(parsed), "reply-links")
-    threads = _threads(linked.where("reply_to is not null"))
-    both = linked.join(threads, ["conv_id", "turn"], "left")
+    found = stage(links(parsed), "reply-links")
+    threads = _threads(found.where("reply_to is not null"))
+    linked = stage(found.join(threads, ["conv_id", "turn"], "left"), "threaded-links")
+    both = _positions(messages, linked).join(linked, ["conv_id", "turn"], "left")
     return parsed.join(both, ["conv_id", "turn"], "left").select(
         "conv_id",
         "turn",
+        "position",
         "role",
         F.col("own").alias("text"),
         "reply_to",
@@ -188,6 +211,6 @@ def conversations(messages: DataFrame) -> DataFrame:
     )
 
 
-def in_order(rows: DataFrame, partitions: int) -> DataFrame:
-    """Conversations as they are written: ranges of conversations, each message after the one it answers."""
-    return rows.repartitionByRange(partitions, "conv_id", "thread", "turn").sortWithinPartitions("conv_id", "thread", "turn")
+def in_order(rows: DataFrame) -> DataFrame:
+    """Conversations as they are read: each message after the one it answers, rows of one message by their text."""
+    return rows.orderBy("conv_id", "position", "turn", "role", "text")
