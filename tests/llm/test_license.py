@@ -14,14 +14,13 @@ def expected(text, templates=L.TEMPLATES, threshold=L.THRESHOLD):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
     places = [(k, label) for k in range(len(words)) for p, label in PHRASES.items() if tuple(words[k : k + len(p)]) == p]
     labels, best = {label for _, label in places}, 0.0
-    step = max(len(re.findall(L.LETTER + "+", t)) for t in templates.values())
-    for begin in range(0, max(1, (len(words) - 1) // step) * step, step):
-        block = set(words[begin : begin + 2 * step])
-        for label, template in templates.items():
-            own = set(L.tokens(template))
-            if len(own & block) >= math.ceil(threshold * len(own) - 1e-9):
-                labels.add(label)
-                best = max(best, len(own & block) / len(own))
+    for label, template in templates.items():
+        own, width = set(L.tokens(template)), len(re.findall(L.LETTER + "+", template))
+        width += math.ceil(width / 4)
+        shared = max(len(own & set(words[k : k + width])) for k in range(max(1, len(words))))
+        if shared >= math.ceil(threshold * len(own) - 1e-9):
+            labels.add(label)
+            best = max(best, shared / len(own))
     starts = [k for k, _ in places]
     base = ",".join(sorted({label for _, label in places}))
     first, last = min(starts, default=None), max(starts, default=None)
@@ -73,6 +72,28 @@ def test_documents_with_every_odd_case(docs, rows):
     check(docs.where("doc_id is not null"), texts)
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("Released under the Apache License", ""),
+        ("This work is licensed under the Mozilla Public License", ""),
+        ("Released under the MIT License.", "mit-short"),
+        ("under " + "the license " * 30 + "MIT", ""),  # the tokens stand far apart
+        ("see the GNU General Public License", "gpl,gpl-work"),
+        (L.TEMPLATES["mit"] + " ... " + "w " * 500 + L.TEMPLATES["mit-body"], "mit,mit-body"),
+        ("w " * 77 + L.TEMPLATES["bsd-body"], "bsd-body"),
+    ],
+)
+def test_names_of_licenses(spark, text, labels):
+    assert L.scan(as_rows(spark, [text] * 12), ["doc_id"]).first().labels == labels
+
+
+def test_pattern_of_a_vocabulary():
+    pattern = re.compile(L._whole(L._any_of(["a", "an", "any", "and", "2", "v"])))
+    assert pattern.findall("a An any ant andy and, 2 22 v") == ["a", "An", "any", "and", "2", "v"]
+    assert L._any_of([""]) == ""
+
+
 def test_a_template_needs_tokens(docs):
     with pytest.raises(ValueError, match="no tokens"):
         L.scan(docs, ["doc_id"], templates={"empty": "!!"})

@@ -1,20 +1,22 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
 Method
-    Blocks      A document's words are cut into blocks that overlap by half; a block is twice as long as the longest
-                template, so every passage of a template's length lies whole in one block.
+    Blocks      A template is looked for in every run of ``width`` words, a quarter more than the template has. For the join
+                the words are cut into blocks that overlap by half and are twice as long as the widest run, so every run
+                lies whole in one block.
     Order       Tokens of the templates are ordered by how many documents hold them, rarest first.
-    Join        A template is contained in a block if the block has at least ``threshold`` of its distinct tokens, that is
-                at least ``need`` of them. Then the two share a token among the first ``size - need + 1`` of either
-                (prefix filter), the block has at least ``need`` template tokens (length filter), and the tokens before and
-                after a shared one could still make up ``need`` (positional filter). Pairs that pass
-                are compared token by token, so the join finds every contained pair and no other.
+    Join        A template is contained in a run if the run has at least ``threshold`` of its distinct tokens, that is
+                at least ``need`` of them. Then its block and the template share a token among the first ``size - need + 1``
+                of either (prefix filter), the block has at least ``need`` template tokens (length filter), and the tokens
+                before and after a shared one could still make up ``need`` (positional filter). Of the pairs that
+                pass, every run of the block that begins with a token of the template is compared token by token, so the
+                join finds every contained template and no other.
     Phrases     The base labels come from phrases whose words stand consecutively; they are counted apart.
 
 Scale
     Texts are read twice and never shuffled: only template tokens matter, so a document sends the few it holds, and
-    blocks are made only of documents that hold enough tokens of some template. The templates are a list in the program;
-    what is broadcast does not depend on the data. Labels return to the documents in a join of narrow rows.
+    blocks are made only of documents that hold enough tokens of some template. The templates are a list in the program:
+    they and their prefixes are broadcast, which no data can enlarge, so blocks are never shuffled by token. Labels return to the documents in a join of narrow rows.
 
 Defined results: a null or empty text has no words, places or labels; repeated rows are labelled alike; a null id is carried
 along; a template without tokens is refused; an empty table gives no rows; only columns to keep are carried, in ``row``.
@@ -31,15 +33,19 @@ from tillwise.sources.staging import stage
 
 #: Phrases of the base labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Openings of widely used notices.
+#: Openings and bodies of widely used notices. A name that alone tells licenses apart stands among at most four
+#: tokens, all of which are needed then.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License",
+    "apache-body": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-body": "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "gpl-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "gpl-work": "This work is licensed under the GNU General Public License",
+    "gpl-work": "GNU General Public License",
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "mit-short": "Released under the MIT License",
+    "mit-body": "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability",
+    "mit-short": "under the MIT License",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 THRESHOLD = 0.8
@@ -55,6 +61,23 @@ def tokens(text: str) -> list[str]:
     return sorted(set(re.findall(LETTER + "+", text.lower())))
 
 
+def run_width(template: str) -> int:
+    """Words of the runs in which a template is looked for."""
+    words = len(re.findall(LETTER + "+", template))
+    return words + -(-words // 4)
+
+
+def _any_of(words: list[str]) -> str:
+    """Pattern for any of the words; common beginnings are tried once."""
+    rest: dict[str, list[str]] = {}
+    for word in words:
+        rest.setdefault(word[:1], []).append(word[1:])
+    options = [re.escape(head) + _any_of(tails) for head, tails in sorted(rest.items()) if head]
+    if not options:
+        return ""
+    return "(?:" + "|".join(options) + ")" + ("?" if "" in rest else "")
+
+
 def _whole(words: str) -> str:
     """Pattern for whole words; (?i) concerns only A-Z."""
     return f"(?i)(?<!{LETTER})(?:{words})(?!{LETTER})"
@@ -100,10 +123,11 @@ def scan(
         raise ValueError("a template has no tokens")
     need = {label: math.ceil(threshold * len(words) - 1e-9) for label, words in own.items()}
     vocabulary = sorted(set().union(*own.values())) or [""]
-    step = max([len(re.findall(LETTER + "+", text)) for text in templates.values()], default=1)
+    width = {label: run_width(text) for label, text in templates.items()}
+    step = max(width.values(), default=1)
     apart = {phrase: phrase.replace(" ", OTHER + "+") for phrase in phrases}
     any_phrase = "|".join(apart.values())
-    any_token = "|".join(re.escape(word) for word in sorted(vocabulary, key=lambda w: (-len(w), w)))
+    any_token = _any_of(vocabulary)
 
     # --- one pass over the texts: words, phrases, and which template tokens a document holds
     key = [F.xxhash64("text").alias("hash"), F.length("text").alias("chars")]
@@ -161,13 +185,16 @@ def scan(
     often = {row["token"]: row["count"] for row in seen_in}
     ordered = sorted(vocabulary, key=lambda token: (often.get(token, 0), token))
     rank = {token: k for k, token in enumerate(ordered)}
+    first = {label: sorted(words, key=rank.get)[: len(words) - need[label] + 1] for label, words in own.items()}
     prefixes = [
-        (label, token, place, len(words), need[label])
-        for label, words in own.items()
-        for place, token in enumerate(sorted(words, key=rank.get)[: len(words) - need[label] + 1])
+        (label, token, place, first[label], own[label], len(own[label]), need[label], width[label])
+        for label in own
+        for place, token in enumerate(first[label])
     ]
-    prefixes = spark.createDataFrame(prefixes, "label string, token string, place int, size int, need int")
-    members = spark.createDataFrame([(label, words) for label, words in own.items()], "label string, tokens array<string>")
+    prefixes = spark.createDataFrame(
+        prefixes,
+        "label string, token string, place int, prefix array<string>, tokens array<string>, size int, need int, width int",
+    )
 
     # --- blocks of the documents that hold enough tokens of some template
     enough = F.lit(False)
@@ -183,7 +210,7 @@ def scan(
             F.posexplode(
                 F.transform(
                     F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("words") - 1) / step).cast("int") - 1)),
-                    lambda k: F.array_distinct(F.slice("words", k * step + 1, F.lit(2 * step))),
+                    lambda k: F.slice("words", k * step + 1, F.lit(2 * step)),
                 )
             ).alias("block", "words"),
         )
@@ -193,18 +220,21 @@ def scan(
     least = min(need.values(), default=1)
     candidates = (
         blocks.where(F.size("known") >= least)
-        .select("hash", "chars", "known", F.posexplode(F.slice("known", F.lit(1), F.size("known") - least + 1)).alias("at", "token"))
-        .join(prefixes, "token")
+        .select("*", F.posexplode(F.slice("known", F.lit(1), F.size("known") - least + 1)).alias("at", "token"))
+        .join(F.broadcast(prefixes), "token")
         .where("size(known) >= need and at <= size(known) - need")
         .where("least(place, at) + 1 + least(size - place - 1, size(known) - at - 1) >= need")
-        .select("hash", "chars", "known", "label", "need")
+        # A pair is met once for each token its prefixes share; the first of them stands for it.
+        .where("array_intersect(known, prefix)[0] = token")
     )
+    begins = F.filter(F.sequence(F.lit(1), F.size("words")), lambda k: F.array_contains("tokens", F.get("words", k - 1)))
+    shared = F.transform(begins, lambda k: F.size(F.array_intersect("tokens", F.slice("words", k, F.col("width")))))
     contained = (
-        candidates.join(members, "label")
-        .withColumn("shared", F.size(F.array_intersect("known", "tokens")))
+        candidates.where(F.size(F.array_intersect("known", "tokens")) >= F.col("need"))
+        .withColumn("shared", F.array_max(shared))
         .where("shared >= need")
         .groupBy("hash", "chars")
-        .agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.size("tokens")).alias("containment"))
+        .agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.col("size")).alias("containment"))
     )
     labels = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
     return base.join(contained, ["hash", "chars"], "left").select(
