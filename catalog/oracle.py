@@ -729,3 +729,4 @@ LEFT JOIN by_month a ON a.s = m LEFT JOIN by_month b ON b.s = m - INTERVAL 1 MON
 
 # The same reports, read through a stored run.
 ORACLE |= {"stored_report": ORACLE["top_products"], "stored_adhoc": ORACLE["adhoc_sql"]}
+ORACLE |= {f"rolled_{name}": ORACLE[name] for name in ("trend_insights", "rca_contributors", "forecast_rows")}

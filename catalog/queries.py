@@ -13,7 +13,8 @@ from tillwise.functions.text import format_currency, format_percent
 from tillwise.operators import cleaning, forecast, inference, kpis, profile, recommend, reports, star, trends
 from tillwise.operators.adhoc import run_select
 from tillwise.operators.numbering import number_rows
-from tillwise.operators.root_cause import analyze_root_cause
+from tillwise.operators.rollup import roll_up
+from tillwise.operators.root_cause import analyze_rolled_root_cause, analyze_root_cause
 from tillwise.session import shared_dir
 from tillwise.sources.csv_files import load_data, write_csv
 from tillwise.sources.run_store import RunStore, sales_record
@@ -236,6 +237,9 @@ def _forecast_only(lines: DataFrame, *columns: str, series: str | None = None) -
 
 over_sales("forecast_lr", lambda lines: _forecast_only(lines, "Date", "Forecast_LR"), *DAILY)
 over_sales("forecast_ma", lambda lines: _forecast_only(lines, "Date", "Forecast_MA"), *DAILY)
+over_sales("rolled_trend_insights", lambda lines: trends.calculate_trends(roll_up(lines).months("Category")).insights, *PERIOD, "Category")
+over_sales("rolled_rca_contributors", lambda lines: analyze_rolled_root_cause(roll_up(lines)).contributors, *DRIVERS)
+over_sales("rolled_forecast_rows", lambda lines: forecast.generate_forecast(roll_up(lines).days(), HORIZON).rows, *DAILY)
 over_sales("forecast_rows", lambda lines: forecast.generate_forecast(lines, HORIZON).rows, *DAILY)
 over_sales("forecast_metrics", lambda lines: forecast.generate_forecast(lines, HORIZON).metrics, *DAILY)
 over_sales(

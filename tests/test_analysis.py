@@ -2,11 +2,13 @@ import math
 from datetime import date, timedelta
 
 import pytest
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
 from tillwise.operators import forecast as FC, kpis as K, recommend as B, reports as R, trends as T
 from tillwise.operators.adhoc import check_select, run_select
-from tillwise.operators.root_cause import analyze_root_cause
+from tillwise.operators.rollup import roll_up
+from tillwise.operators.root_cause import analyze_rolled_root_cause, analyze_root_cause
 
 LINE = "Date date, Order_ID string, Customer_ID string, Product string, Category string, Revenue double, Profit double"
 
@@ -117,6 +119,103 @@ def test_adhoc_select(spark, sales):
             check_select(refused)
 
 
+@pytest.mark.parametrize(
+    "text, rows",
+    [
+        ("SELECT * FROM (WITH x AS (SELECT * FROM sales_data), y AS (SELECT * FROM x) SELECT * FROM y)", 6),
+        ("SELECT Product FROM SALES_DATA UNION ALL SELECT Category FROM sales_data", 12),
+        ("SELECT Product, sum(Revenue) r FROM sales_data GROUP BY ALL HAVING r > 1000 ORDER BY r DESC LIMIT 5 OFFSET 0", 1),
+        ("SELECT rank() OVER w FROM sales_data WINDOW w AS (PARTITION BY Product ORDER BY Revenue)", 6),
+        ("SELECT /*+ BROADCAST(b) */ a.Product FROM sales_data a JOIN sales_data b USING (Order_ID)", 6),
+        ("SELECT e FROM sales_data LATERAL VIEW explode(array(1, 2)) t AS e", 12),
+        ("SELECT (SELECT count(*) FROM VALUES (1), (2) AS v(k)) AS n, CASE WHEN 1 IN (SELECT 1) THEN 'drops' END", None),
+        ("SELECT * FROM sales_data TABLESAMPLE (100 PERCENT) INTERSECT SELECT * FROM sales_data", 6),
+    ],
+)
+def test_gate_allows(spark, sales, text, rows):
+    if rows is None:  # the word is refused wherever it stands
+        with pytest.raises(ValueError, match="DROP"):
+            run_select({"sales_data": sales}, text, "r")
+    else:
+        assert run_select({"sales_data": sales}, text, "r").count() == rows
+
+
+@pytest.mark.parametrize(
+    "text, reason",
+    [
+        ("SELECT * FROM range(10)", "not allowed"),
+        ("SELECT * FROM sales_data, LATERAL explode(array(1))", "not allowed"),
+        ("SELECT * FROM IDENTIFIER('foreign' || '_rows')", "not allowed"),
+        ("SELECT IDENTIFIER('ref' || 'lect')('java.lang.System', 'getProperty', 'user.dir')", "not allowed"),
+        ("SELECT IDENTIFIER('ref' 'lect')('java.lang.System', 'getProperty', 'user.dir')", "not allowed|forbidden"),
+        ("SELECT TRANSFORM(Product) USING 'cat' FROM sales_data", "not allowed"),
+        ("SELECT * FROM (WITH x AS (SELECT * FROM x) SELECT * FROM x)", "not part"),
+        ("SELECT * FROM (WITH y AS (SELECT * FROM x), x AS (SELECT 1) SELECT * FROM y)", "not part"),
+        ("SELECT * FROM (WITH x AS (SELECT 1) SELECT * FROM x) JOIN x", "not part"),
+        ("SELECT * FROM (WITH x AS (SELECT (SELECT 1 FROM foreign_rows)) SELECT * FROM x)", "not part"),
+        ("SELECT count(*) FROM sales_data ORDER BY (SELECT 1 FROM foreign_rows)", "not part"),
+        ("SELECT sum(CASE WHEN 1 IN (SELECT 1 FROM foreign_rows) THEN 1 END) FROM sales_data", "not part"),
+        ("SELECT * FROM default.sales_data", "not part"),
+        ("SELECT * FROM (TABLE foreign_rows)", "not part"),
+        ("SELECT * FROM sales_data; SELECT 1", "."),
+    ],
+)
+def test_gate_refuses(spark, sales, text, reason):
+    sales.createOrReplaceTempView("foreign_rows")
+    sales.createOrReplaceTempView("x")
+    try:
+        with pytest.raises((ValueError, ParseException), match=reason):
+            run_select({"sales_data": sales}, text, "r")
+    finally:
+        spark.catalog.dropTempView("foreign_rows")
+        spark.catalog.dropTempView("x")
+
+
+def _rows(frame):
+    return sorted(
+        (tuple(round(v, 6) if isinstance(v, float) else v for v in row) for row in frame.collect()),
+        key=repr,
+    )
+
+
+@pytest.mark.parametrize("without", [[], ["Category"], ["Date"], ["Customer_ID", "Product"], ["Revenue"]])
+def test_rolled_analyses_equal_those_of_lines(spark, sales, without):
+    odd = [
+        (None, "O7", "C1", "Laptop", "Electronics", 10.0, 1.0, 9.0, 1.0),
+        (date(2026, 3, 2), "O8", None, None, None, 5.0, 9.0, -4.0, 1.0),
+        (date(2026, 3, 2), "O9", "Unknown", "Cable", "", None, None, None, None),
+        (date(2026, 3, 3), "O9", "C2", "Cable", "Parts", -700.0, 1.0, -701.0, 1.0),
+    ]
+    lines = sales.unionByName(spark.createDataFrame(odd, sales.schema)).drop(*without)
+    rolled = roll_up(lines)
+    for metric in ("Revenue", "Profit"):
+        plain, summed = analyze_root_cause(lines, metric), analyze_rolled_root_cause(rolled, metric)
+        for part in ("summary", "contributors", "top", "explanations"):
+            assert _rows(getattr(summed, part)) == _rows(getattr(plain, part)), part
+    plain, summed = T.calculate_trends(lines), T.calculate_trends(rolled.months("Category"))
+    for part in ("monthly", "quarterly", "yearly", "best_worst", "fastest_category", "insights"):
+        assert _rows(getattr(summed, part)) == _rows(getattr(plain, part)), part
+    plain, summed = FC.generate_forecast(lines, 3), FC.generate_forecast(rolled.days(), 3)
+    for part in ("rows", "metrics", "status"):
+        assert _rows(getattr(summed, part)) == _rows(getattr(plain, part)), part
+    if not without:
+        summary = spark.range(1).selectExpr("2 AS duplicate_rows_removed", "0 AS invalid_dates_found")
+        how = dict(product_share=0.01, customer_share_pct=0.1)
+        plain = B.generate_recommendations(lines, K.calculate_kpis(lines), summary, **how)
+        assert _rows(B.generate_recommendations(lines, K.calculate_kpis(lines), summary, rolled=rolled, **how)) == _rows(plain)
+
+
+def test_roll_up_is_the_only_reader_of_the_lines(spark, sales, tmp_path):
+    sales.write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    rolled = roll_up(lines)
+    assert rolled.rows.count() == len(rolled.rows.distinct().collect())
+    frames = [*vars(T.calculate_trends(rolled.months("Category"))).values(), FC.generate_forecast(rolled.days()).rows]
+    frames.append(analyze_rolled_root_cause(rolled).contributors)
+    assert not {file for frame in frames for file in frame.inputFiles()} & set(lines.inputFiles())
+    assert roll_up(lines.limit(0)).rows.isEmpty()
+
+
 def test_trends(sales):
     trends = T.calculate_trends(sales)
     months = [tuple(r) for r in trends.monthly.collect()]

@@ -201,5 +201,6 @@ EMPTY_INPUT = "The uploaded CSV does not contain any data rows."
 METRIC_ERROR = "Root Cause Analysis is only supported for 'Revenue' or 'Profit'."
 SELECT_ERROR = "Security error: Only SELECT queries are allowed."
 REFLECTIVE_WORDS = ["REFLECT", "JAVA_METHOD"]
+CLAUSE_ERROR = "Security error: '{name}' is not allowed in a query."
 TABLE_ERROR = "Security error: Table '{name}' is not part of the run store."
 WORD_ERROR = "Security error: Use of forbidden keyword '{word}' is not allowed."

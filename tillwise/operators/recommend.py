@@ -18,6 +18,7 @@ from tillwise.fixed_values import (
 )
 from tillwise.functions.numbers import percent, ratio, total
 from tillwise.functions.text import amount, fill
+from tillwise.operators.rollup import RollUp
 from tillwise.sources.staging import stage
 
 RECOMMENDATION_TYPE = (
@@ -78,6 +79,18 @@ def member_totals(sales: DataFrame) -> DataFrame:
     return stage(grouped.agg(*without, *sums), "member-totals")
 
 
+def rolled_totals(rolled: RollUp) -> DataFrame:
+    """What ``member_totals`` gives, from sums per month; staged. No row of all lines: none of the rules needs it."""
+    profit = F.sum("Profit") if "Profit" in rolled.columns else F.lit(None)
+    sums = rolled.members().where(F.col("dimension").isin("Product", "Customer_ID")).groupBy("dimension", "member").agg(
+        total(F.col("Revenue")).cast("double").alias("revenue"), profit.cast("double").alias("profit")
+    )
+    of = lambda name: F.when(F.col("dimension") == name, F.col("member")).alias(name)
+    without = lambda name: (F.col("dimension") != name).cast("int").alias(f"without {name}")
+    names = ("Product", "Customer_ID")
+    return stage(sums.select(*map(of, names), *map(without, names), "revenue", "profit"), "member-totals")
+
+
 def products_of(totals: DataFrame) -> DataFrame:
     """What ``product_totals`` gives, from ``member_totals``."""
     known = (F.col("without Product") == 0) & F.col("Product").isNotNull()
@@ -167,14 +180,18 @@ def generate_recommendations(
     product_share: float = PRODUCT_SHARE,
     customer_share_pct: float = CUSTOMER_SHARE_PCT,
     customer_high_pct: float = CUSTOMER_SHARE_HIGH_PCT,
+    rolled: RollUp | None = None,
 ) -> DataFrame:
     """All triggered rules in rule order; nothing when there are no sales lines.
 
-    The KPI row is computed once; totals per product and customer come from one more pass and are staged.
+    The KPI row is computed once; totals per product and customer come from one more pass and are staged. With the
+    roll-up of the lines they are not read again.
     """
     has = set(sales.columns).issuperset
-    totals = member_totals(sales) if has({"Revenue"}) else None
-    if (sales if totals is None else totals).isEmpty():
+    totals = None
+    if has({"Revenue"}):
+        totals = member_totals(sales) if rolled is None else rolled_totals(rolled)
+    if (rolled.rows if rolled else sales if totals is None else totals).isEmpty():
         return sales.sparkSession.createDataFrame([], RECOMMENDATION_TYPE)
     kpis = sales.sparkSession.createDataFrame(kpis.collect(), kpis.schema)  # one row
     parts = [low_margin(kpis, low_margin_pct, urgent_margin_pct)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -12,6 +13,7 @@ from tillwise.functions.numbers import percent, ratio
 from tillwise.functions.periods import month_start
 from tillwise.functions.text import amount, fill
 from tillwise.operators.numbering import number_rows
+from tillwise.operators.rollup import RollUp
 
 SUMMARY_TYPE = (
     "status string, drop_detected boolean, metric string, total_change double, pct_change double, "
@@ -45,18 +47,35 @@ def analyze_root_cause(sales: DataFrame, metric: str = "Revenue") -> RootCause:
     """
     if metric not in DRIVER_METRICS:
         raise ValueError(METRIC_ERROR)
-    if {"Date", metric} <= set(sales.columns):
-        lines = sales.where(F.col("Date").isNotNull() & F.col(metric).isNotNull())
-        latest = _latest(lines, metric)
-        status = "one_month"
-    else:
-        lines, latest, status = sales, [], "no_data"
+    known = F.col("Date").isNotNull() & F.col(metric).isNotNull() if {"Date", metric} <= set(sales.columns) else None
+    if known is None:
+        return _analysis(sales, None, metric)
+    lines = sales.where(known)
+    return _analysis(lines, lambda latest: _line_members(lines, latest, metric), metric)
+
+
+def analyze_rolled_root_cause(rolled: RollUp, metric: str = "Revenue") -> RootCause:
+    """What ``analyze_root_cause`` gives for the lines, from their roll-up."""
+    if metric not in DRIVER_METRICS:
+        raise ValueError(METRIC_ERROR)
+    if not {"Date", metric} <= set(rolled.columns):
+        return _analysis(rolled.rows, None, metric)
+    known = F.col("Date").isNotNull() & F.col(metric).isNotNull()
+    return _analysis(rolled.days().where(known), lambda latest: _rolled_members(rolled, latest, metric), metric)
+
+
+def _analysis(lines: DataFrame, members_of: Callable[[list[Row]], DataFrame | None] | None, metric: str) -> RootCause:
+    """``members_of`` gives the members' values in two months; None stands for lines without dates or metric."""
+    latest = _latest(lines, metric) if members_of else []
+    status = "one_month" if members_of else "no_data"
     if len(latest) == 2:
         status = "decline" if latest[0]["value"] < latest[1]["value"] else "no_decline"
-    summary = _summary(sales, latest, metric, status)
-    contributors = _contributors(lines, latest, metric) if status == "decline" else None
-    if contributors is None:
-        contributors = sales.sparkSession.createDataFrame([], CONTRIBUTOR_TYPE)
+    summary = _summary(lines, latest, metric, status)
+    members = members_of(latest) if status == "decline" else None
+    if members is None:
+        contributors = lines.sparkSession.createDataFrame([], CONTRIBUTOR_TYPE)
+    else:
+        contributors = _contributors(members, latest)
     top = _top(contributors)
     return RootCause(
         summary=summary,
@@ -72,7 +91,7 @@ def _latest(lines: DataFrame, metric: str) -> list[Row]:
     return months.orderBy(F.desc("start")).limit(2).collect()
 
 
-def _summary(sales: DataFrame, latest: list[Row], metric: str, status: str) -> DataFrame:
+def _summary(lines: DataFrame, latest: list[Row], metric: str, status: str) -> DataFrame:
     now = latest[0] if latest else None
     before = latest[1] if len(latest) == 2 else None
     change = float(now["value"] - before["value"]) if before else 0.0
@@ -88,11 +107,11 @@ def _summary(sales: DataFrame, latest: list[Row], metric: str, status: str) -> D
         float(now["value"]) if now else None,
         float(before["value"]) if before else None,
     )
-    return sales.sparkSession.createDataFrame([row], SUMMARY_TYPE)
+    return lines.sparkSession.createDataFrame([row], SUMMARY_TYPE)
 
 
-def _contributors(lines: DataFrame, latest: list[Row], metric: str) -> DataFrame | None:
-    """Members that fell between the two months, given as constants so that the filter reaches the scan."""
+def _line_members(lines: DataFrame, latest: list[Row], metric: str) -> DataFrame | None:
+    """(dimension, member, before, now); the two months are given as constants so that the filter reaches the scan."""
     dimensions = [name for name in DRIVER_DIMENSIONS if name in lines.columns]
     if not dimensions:
         return None
@@ -113,11 +132,29 @@ def _contributors(lines: DataFrame, latest: list[Row], metric: str) -> DataFrame
         here = F.col(f"`without {name}`") == 0
         dimension = F.when(here, F.lit(name)).otherwise(dimension)
         member = F.when(here, F.col(name).cast("string")).otherwise(member)
-    zero = F.lit(0).cast(lines.schema[metric].dataType)
+    return sets.select(dimension.alias("dimension"), member.alias("member"), "before", "now")
+
+
+def _rolled_members(rolled: RollUp, latest: list[Row], metric: str) -> DataFrame | None:
+    """What ``_line_members`` gives, from sums per month and member."""
+    if not set(DRIVER_DIMENSIONS) & set(rolled.columns):
+        return None
+    now, before = latest
+    is_now = F.col("Date") >= F.lit(now["start"])
+    recent = rolled.members().where((F.col("Date") >= F.lit(before["start"])) & F.col(metric).isNotNull())
+    return recent.groupBy("dimension", "member").agg(
+        F.sum(F.when(~is_now, F.col(metric))).alias("before"), F.sum(F.when(is_now, F.col(metric))).alias("now")
+    )
+
+
+def _contributors(members: DataFrame, latest: list[Row]) -> DataFrame:
+    """The members that fell between the two months."""
+    now, before = latest
+    zero = F.lit(0).cast(members.schema["now"].dataType)
     earlier, later = F.coalesce("before", zero), F.coalesce("now", zero)
-    members = sets.select(
-        dimension.alias("dimension"),
-        member.alias("member"),
+    members = members.select(
+        "dimension",
+        "member",
         earlier.cast("double").alias("previous_value"),
         later.cast("double").alias("current_value"),
         (later - earlier).cast("double").alias("change"),

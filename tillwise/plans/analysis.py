@@ -12,7 +12,8 @@ from tillwise.operators.cleaning import CleanResult, clean_sales_data
 from tillwise.operators.forecast import Forecast, generate_forecast
 from tillwise.operators.kpis import calculate_kpis
 from tillwise.operators.recommend import generate_recommendations
-from tillwise.operators.root_cause import RootCause, analyze_root_cause
+from tillwise.operators.root_cause import RootCause, analyze_rolled_root_cause
+from tillwise.operators.rollup import roll_up
 from tillwise.operators.trends import Trends, calculate_trends
 from tillwise.sources.csv_files import load_data
 from tillwise.sources.run_store import RunStore
@@ -73,10 +74,11 @@ def ingest(
 def analyze(
     sales: DataFrame, kpis: DataFrame, summary: DataFrame, metric: str = "Revenue", horizon_days: int = FORECAST_HORIZON
 ) -> Analyses:
-    """Every analysis of cleaned lines; all frames are lazy."""
+    """Every analysis of cleaned lines. The lines are read once, for the roll-up that all of them start from."""
+    rolled = roll_up(sales)
     return Analyses(
-        trends=calculate_trends(sales),
-        root_cause=analyze_root_cause(sales, metric),
-        forecast=generate_forecast(sales, horizon_days),
-        recommendations=generate_recommendations(sales, kpis, summary),
+        trends=calculate_trends(rolled.months("Category")),
+        root_cause=analyze_rolled_root_cause(rolled, metric),
+        forecast=generate_forecast(rolled.days(), horizon_days),
+        recommendations=generate_recommendations(sales, kpis, summary, rolled=rolled),
     )
