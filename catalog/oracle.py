@@ -652,6 +652,11 @@ FROM model""",
         'SELECT series, d AS "Date", ROUND(ma, 4) AS "Forecast_MA", ROUND(lr, 4) AS "Forecast_LR" FROM future',
         spine("Category"),
     ),
+    "forecast_status_of_customers": with_sales(
+        f"""SELECT Customer_ID AS series, COUNT(DISTINCT "Date") AS sale_days,
+CASE WHEN COUNT(DISTINCT "Date") >= {V.FORECAST_MIN_DAYS} THEN 'ok' ELSE '{V.FORECAST_TEXTS["few_days"]}' END AS status
+FROM sales WHERE Customer_ID IS NOT NULL AND "Date" IS NOT NULL AND Revenue IS NOT NULL GROUP BY Customer_ID"""
+    ),
     "forecast_status": with_sales(
         f"""SELECT series, sold AS sale_days, CASE WHEN sold >= 5 THEN 'ok' ELSE {text(V.FORECAST_TEXTS["few_days"])} END
 AS status FROM ends""",

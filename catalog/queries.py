@@ -241,6 +241,12 @@ over_sales("rolled_trend_insights", lambda lines: trends.calculate_trends(roll_u
 over_sales("rolled_rca_contributors", lambda lines: analyze_rolled_root_cause(roll_up(lines)).contributors, *DRIVERS)
 over_sales("rolled_forecast_rows", lambda lines: forecast.generate_forecast(roll_up(lines).days(), HORIZON).rows, *DAILY)
 over_sales("forecast_rows", lambda lines: forecast.generate_forecast(lines, HORIZON).rows, *DAILY)
+over_sales(
+    "forecast_status_of_customers",
+    lambda lines: forecast.generate_forecast(lines, HORIZON, "Customer_ID").status,
+    *DAILY,
+    "Customer_ID",
+)
 over_sales("forecast_metrics", lambda lines: forecast.generate_forecast(lines, HORIZON).metrics, *DAILY)
 over_sales(
     "forecast_by_category",
