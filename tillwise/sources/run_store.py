@@ -67,7 +67,7 @@ class RunStore:
         return self.spark.read.schema(f"run_id string, {TABLES[name]}").parquet(f"{self.path}/{name}")
 
     def _write(self, name: str, run_id: str, rows: DataFrame) -> None:
-        rows.write.mode("errorifexists").parquet(f"{self.path}/{name}/run_id={run_id}")
+        rows.write.mode("errorifexists").option("compression", "zstd").parquet(f"{self.path}/{name}/run_id={run_id}")
 
     def _read_run(self, name: str, run_id: str) -> DataFrame:
         """Rows of one run, without listing the folders of the others; none if it has no folder."""
