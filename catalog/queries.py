@@ -18,6 +18,7 @@ from tillwise.operators.root_cause import analyze_rolled_root_cause, analyze_roo
 from tillwise.session import shared_dir
 from tillwise.sources.csv_files import load_data, write_csv
 from tillwise.sources.run_store import RunStore, sales_record
+from tillwise.sources.staging import in_parts
 from tillwise.sources.star_tables import sales_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,7 +69,7 @@ over_sales("kpi_long", lambda lines: kpis.kpis_to_dataframe(kpis.calculate_kpis(
 over_sales("monthly_growth", kpis.calculate_monthly_growth, *DAILY)
 over_sales(
     "kpi_by_category",
-    lambda lines: lines.groupBy("Category").agg(
+    lambda lines: in_parts(lines, "Category", "Order_ID", "Customer_ID").groupBy("Category").agg(
         kpis.revenue(),
         kpis.profit(),
         kpis.profit_margin(),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillwise.functions.numbers import ratio, total
 from tillwise.functions.periods import month_label, month_start
+from tillwise.sources.staging import in_parts
 
 
 def product_key() -> Column:
@@ -53,13 +54,14 @@ def fact_sales(sales: DataFrame) -> DataFrame:
 def star_measures(facts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Total revenue, cost, profit, margin share, orders and average order value, in total or per group.
 
-    Lines are combined per order first, so the distinct count is a count of rows.
+    Lines are combined per order first, so the distinct count is a count of rows. Tasks deal with parts of the orders whose
+    size does not grow with the table.
     """
     keys = by or []
     revenue, cost = total(F.col("revenue")), total(F.col("cost"))
     orders = F.count("*")
     zero = F.lit(0.0)
-    per_order = facts.groupBy(*keys, "Order_ID").agg(F.sum("Revenue").alias("revenue"), F.sum("Cost").alias("cost"))
+    per_order = in_parts(facts, *keys, "Order_ID").groupBy(*keys, "Order_ID").agg(F.sum("Revenue").alias("revenue"), F.sum("Cost").alias("cost"))
     return per_order.groupBy(*keys).agg(
         revenue.cast("double").alias("total_revenue"),
         cost.cast("double").alias("total_cost"),

@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillwise.session import shared_dir
 
@@ -52,6 +52,39 @@ class StageArea:
         self.close()
 
 
+PART = 8 << 20  # bytes of the tables read that a part stands for
+
+
+def in_parts(frame: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by the keys to a number of parts that grows with the tables read, where that is more than shuffles have.
+
+    A task that keeps a state for each key then holds a bounded number of them, however many rows there are.
+    """
+    spark = frame.sparkSession
+    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(place).stats().sizeInBytes())) for place in range(leaves.size()))
+    parts = -(-size // PART)
+    return frame.repartition(parts, *[F.col(key) for key in keys]) if parts > spark.sparkContext.defaultParallelism else frame
+
+
+LONGEST_METHOD = 8000  # bytes of a generated method that the JVM still compiles
+
+
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """Jobs of the block run fused steps one by one where their generated method is too long for the JVM to compile.
+
+    A longer method is interpreted for every row, many times slower than steps whose expressions are split over methods.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), LONGEST_METHOD)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stage(frame: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     """Write the frame below ``spark.checkpoint.dir`` and return a reader of the files.
 
@@ -61,7 +94,8 @@ def stage(frame: DataFrame, name: str, row_group: int | None = None) -> DataFram
     path = f"{_folder.get() or shared_dir(spark) + '/tillwise-stage'}/{name}-{uuid4()}"
     # Column names come from user files and may hold characters Parquet readers dislike.
     plain = [f"c{place}" for place in range(len(frame.columns))]
-    options = {"parquet.block.size": row_group} if row_group else {}
-    frame.toDF(*plain).write.options(**options).parquet(path)
+    options = {"compression": "zstd", **({"parquet.block.size": row_group} if row_group else {})}
+    with compiled_methods(spark):
+        frame.toDF(*plain).write.options(**options).parquet(path)
     kinds = ", ".join(f"{short} {field.dataType.simpleString()}" for short, field in zip(plain, frame.schema))
     return spark.read.schema(kinds).parquet(path).toDF(*frame.columns)
