@@ -59,9 +59,9 @@ REPEATS = 1_000_000  # repeated fingerprints that are broadcast: two longs each
 def with_fingerprint(frame: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Add 128 bits that equal rows have in common, in two columns ``PRINTS``."""
     names = frame.columns if keys is None else keys
-    # Hashes skip nulls: their places are hashed as a text of their own.
-    nulls = F.concat(*[F.when(col(name).isNull(), "1").otherwise("0") for name in names])
-    return frame.withColumns({name: F.xxhash64(F.lit(seed), nulls, *map(col, names)) for seed, name in enumerate(PRINTS)})
+    # Hashes skip nulls: their places are hashed as truth values of their own.
+    nulls = [col(name).isNull() for name in names]
+    return frame.withColumns({name: F.xxhash64(F.lit(seed), *nulls, *map(col, names)) for seed, name in enumerate(PRINTS)})
 
 
 def distinct_rows(written: DataFrame, keys: list[str], counter: str = "copies", repeats: int = REPEATS) -> DataFrame:
@@ -101,9 +101,19 @@ def check_missing_values(frame: DataFrame) -> DataFrame:
 
 def check_duplicates(frame: DataFrame) -> DataFrame:
     """(duplicate_rows): rows beyond the first of each set of equal rows."""
-    copies = group_copies(nan_to_null(frame), "copies of row")
-    extra = F.coalesce(F.sum(F.col("copies of row") - 1), F.lit(0))
-    return copies.agg(extra.alias("duplicate_rows"))
+    frame = nan_to_null(frame)
+    return _extra_copies(stage(with_fingerprint(frame), "rows"), frame.columns).withColumnRenamed("extra", "duplicate_rows")
+
+
+def _extra_copies(written: DataFrame, keys: list[str]) -> DataFrame:
+    """(extra): rows beyond the first of each set of equal rows, of a written table with fingerprints.
+
+    A task keeps two longs a row, not the row; only rows whose fingerprint repeats are grouped as a whole.
+    """
+    prints = written.groupBy(*map(col, PRINTS)).agg(F.count("*").alias("rows")).where("rows > 1").select(*map(col, PRINTS))
+    suspects = written.join(stage(prints, "repeated-rows"), PRINTS, "left_semi").select(*map(col, keys))
+    copies = group_copies(suspects, "copies of row")
+    return copies.agg(F.coalesce(F.sum(F.col("copies of row") - 1), F.lit(0)).alias("extra"))
 
 
 def validate_dates(frame: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
@@ -121,19 +131,16 @@ def _invalid_dates(frame: DataFrame, formats: Sequence[str], weight: Column) ->
 def generate_quality_report(frame: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
     """(item, column, value): row count, nulls per column, duplicates and invalid dates.
 
-    One grouping of equal rows answers everything.
+    The rows are written once, with a fingerprint that finds duplicates; all else are plain counts.
     """
     frame = nan_to_null(frame)
     names = frame.columns
-    copies = group_copies(frame, "copies of row")
-    weight = F.col("copies of row")
-    count = lambda condition: F.coalesce(F.sum(F.when(condition, weight)), F.lit(0))
-    facts = copies.agg(
-        F.coalesce(F.sum(weight), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(weight - 1), F.lit(0)).alias("extra"),
-        _invalid_dates(frame, formats, weight).alias("dates"),
-        *[count(col(name).isNull()).alias(f"m{i}") for i, name in enumerate(names)],
-    )
+    written = stage(with_fingerprint(frame), "rows")
+    facts = written.agg(
+        F.count("*").alias("rows"),
+        _invalid_dates(frame, formats, F.lit(1)).alias("dates"),
+        *[F.count_if(col(name).isNull()).alias(f"m{i}") for i, name in enumerate(names)],
+    ).crossJoin(_extra_copies(written, names))
 
     def entry(item: str, column: str | None, value: str) -> Column:
         return F.struct(
