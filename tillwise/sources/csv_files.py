@@ -16,6 +16,7 @@ LINE, FILE = "line that does not fit", "file of line"
 BAD_LINE = "A CSV line has more cells than the header, or a broken quote: "
 BAD_HEADER = "A CSV file has another header than the others of its path: "
 OPEN_QUOTE = "A quoted CSV cell is never closed in: "
+BLOCK_BITS = 15  # lines of a block: 2 ** 15
 SHOWN = 200  # characters of a bad line
 OPTIONS = {"header": True, "escape": '"', "encoding": "UTF-8"}
 
@@ -131,6 +132,8 @@ def _records(lines: DataFrame) -> DataFrame:
     the state before every line. Lines that are whole records pass on as they are; only lines of longer records are
     grouped. Lines stay with their split, so no task holds more than a split and one record.
     """
+    # A long split is composed of blocks of lines, as a file is of splits: no window holds more than one block.
+    lines = lines.withColumn("start", F.struct("start", F.shiftright("at", BLOCK_BITS).alias("block")))
     own = Window.partitionBy("file", "start").orderBy("at")
     upto, before = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
     change = _state_change(F.col("value"))
@@ -153,7 +156,8 @@ def _records(lines: DataFrame) -> DataFrame:
     if unclosed:  # known before any record is put together: it would reach to the end of its file
         raise ValueError(OPEN_QUOTE + unclosed[0]["file"])
 
-    lines = lines.join(splits.select("file", "start", "begin", "header_at"), ["file", "start"])
+    # Broadcast of one short row per block of lines.
+    lines = lines.join(F.broadcast(splits.select("file", "start", "begin", "header_at")), ["file", "start"])
     by_begin = lambda name: F.when(F.col("begin") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1")).alias(name)
     header = F.coalesce(F.col("at") == F.col("header_at"), F.lit(False)).alias("header")
     lines = lines.select("file", "start", "at", "value", header, *map(by_begin, ("before", "after", "number")))
