@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType, StringType
 
@@ -21,8 +23,9 @@ def add_numbers(frame: DataFrame, cells: dict[str, str]) -> DataFrame:
     step = {name: f"text for {name}" for name in texts}
     names = frame.columns
     frame = frame.withColumns({step[name]: strip(col(cells[name])) for name in texts})
-    frame = frame.withColumns({step[name]: F.translate(col(step[name]), CURRENCY_MARKS, "") for name in texts})
-    frame = frame.withColumns({step[name]: strip(col(step[name])) for name in texts})
+    # Few cells hold a mark: only their texts are made anew.
+    unmarked = {name: strip(F.translate(col(step[name]), CURRENCY_MARKS, "")) for name in texts}
+    frame = frame.withColumns({step[name]: F.when(marked(col(step[name])), text).otherwise(col(step[name])) for name, text in unmarked.items()})
     numbers = {}
     for name, raw in cells.items():
         if name in texts:
@@ -37,6 +40,11 @@ def add_numbers(frame: DataFrame, cells: dict[str, str]) -> DataFrame:
     return frame.withColumns(finite).select(*[col(name) for name in [*names, *cells]])
 
 
+def marked(text: Column) -> Column:
+    """Whether a text holds a currency mark."""
+    return reduce(Column.__or__, [F.contains(text, F.lit(mark)) for mark in CURRENCY_MARKS])
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """Quotient in double, null when the divisor is zero or null."""
     return F.try_divide(top.cast("double"), bottom.cast("double"))

@@ -17,7 +17,6 @@ from pyspark.sql.types import DataType, StringType
 
 from tillwise.fixed_values import (
     ACTION_TEXTS,
-    CURRENCY_MARKS,
     DATE_FORMATS,
     EMPTY_INPUT,
     NUMERIC_COLUMNS,
@@ -27,19 +26,19 @@ from tillwise.fixed_values import (
     UNKNOWN,
     UNSIGNED_COLUMNS,
 )
-from tillwise.functions.numbers import add_numbers
+from tillwise.functions.numbers import add_numbers, marked
 from tillwise.functions.periods import parse_date
-from tillwise.functions.text import blank_to_null, col
+from tillwise.functions.text import col, strip
 from tillwise.operators.inference import ColumnType, by_inferred_value, infer_types, parse_voted, with_date_format
 from tillwise.operators.medians import approximate_medians, bounds_columns, exact_medians
 from tillwise.operators.profile import build_column_report, distinct_rows, nan_to_null, with_fingerprint
-from tillwise.sources.staging import stage
+from tillwise.sources.staging import compiled_methods, stage
 
 COPIES = "copies of row"
 ROW_GROUP = 8 << 20  # bytes: raw rows may come from few tasks, but are parsed by many
 REGULAR_NUMBER = r"^(?!-0(\.0*)?$)-?(0|[1-9]\d*)(\.\d+)?$"
 FORMAT = "date format"
-PARSED, RAW, HAS_DATE_TEXT = "parsed ", "raw ", "has date text"
+PARSED, TRIMMED, SPELLING, NO_CELL, HAS_DATE_TEXT = "parsed ", "trimmed ", "spelling of ", "no cell of ", "has date text"
 SUMMARY_TYPE = (
     "rows_before long, rows_after long, columns long, duplicate_rows_removed long, invalid_dates_found long, "
     "missing_values_before long, missing_values_after long, quality_score_before double, "
@@ -171,17 +170,20 @@ def clean_sales_data(
     staged = _stage_parsed(distinct_rows(written, keys, COPIES), formats, "distinct")
     renamed = renamed.select(*map(col, names))
     rows = _typed_rows(staged, names)
-    first = counters = rows.agg(*_raw_counters(renamed), *_clean_counters(rows, names)).first()
+    with compiled_methods(raw.sparkSession):
+        first = counters = rows.agg(*_raw_counters(renamed), *_clean_counters(rows, names)).first()
     if not first["rows"]:
         raise ValueError(EMPTY_INPUT)
 
-    # A column of plain numbers is compared by value: 1 and 1.0 are the same cell.
-    plain = [name for name in _text_numbers(renamed) if _has_spellings(first, name)]
+    # A column of plain numbers is compared by value: 1 and 1.0 are the same cell. Typed numbers have one spelling only.
+    typed = {known.column for known in types or () if known.type in ("int", "float")}
+    plain = [name for name in _text_numbers(renamed) if name not in typed and _has_spellings(first, name)]
     if plain:
         by_value = staged.withColumns({name: col(PARSED + name) for name in plain})
         by_value = by_value.groupBy(*[col(name) for name in keys]).agg(F.sum(COPIES).alias(COPIES))
         rows = _typed_rows(_stage_parsed(by_value, formats, "distinct-by-value"), names)
-        counters = rows.agg(*_clean_counters(rows, names)).first()
+        with compiled_methods(raw.sparkSession):
+            counters = rows.agg(*_clean_counters(rows, names)).first()
 
     return CleanResult(
         rows=rows,
@@ -215,13 +217,20 @@ def _stage_parsed(distinct: DataFrame, formats: tuple[str, ...], name: str) -> D
 
     Every cell is parsed once here; the passes that follow read the typed values.
     """
-    names = distinct.columns
+    names = [name for name in distinct.columns if name != COPIES]
     numbers = {PARSED + column: column for column in NUMERIC_COLUMNS if column in names}
     parsed = add_numbers(distinct, numbers)
+    parsed = parsed.withColumns({SPELLING + name: _spelling(col(name), col(PARSED + name)) for name in _text_numbers(distinct)})
+    texts = [name for name in names if name not in ("Date", FORMAT) and PARSED + name not in numbers]
+    texts = [name for name in texts if isinstance(distinct.schema[name].dataType, StringType)]
+    # Only texts that trimming changes are written once more; most cells stay null here and take no room.
+    parsed = parsed.withColumns({TRIMMED + name: strip(col(name)) for name in texts})
+    parsed = parsed.withColumns({TRIMMED + name: F.when(col(TRIMMED + name) != col(name), col(TRIMMED + name)) for name in texts})
     if "Date" in names:
         kind = distinct.schema["Date"].dataType
-        text = blank_to_null(col("Date")) if isinstance(kind, StringType) else col("Date")
-        date = "date cell"
+        date, text = "date cell", col("Date")
+        if isinstance(kind, StringType):
+            parsed, text = parsed.withColumn(date, strip(text)), F.when(col(date) != "", col(date))
         parsed = (
             parsed.withColumn(date, text)
             .withColumns({PARSED + "Date": _date(col(date), kind, formats, FORMAT in names), HAS_DATE_TEXT: col(date).isNotNull()})
@@ -235,18 +244,32 @@ def _date(cell: Column, kind: DataType, formats: tuple[str, ...], voted: bool) -
 
 
 def _typed_rows(staged: DataFrame, names: list[str]) -> DataFrame:
-    """Staged rows with typed columns next to the raw ones: ``RAW`` + name is the cell as it came."""
-    typed = []
-    for field in staged.schema:
-        if field.name in names:
-            cell = col(field.name)
-            if PARSED + field.name in staged.columns:
-                cell = col(PARSED + field.name)
-            elif isinstance(field.dataType, StringType):
-                cell = blank_to_null(cell)
-            typed += [cell.alias(field.name), col(field.name).alias(RAW + field.name)]
-    helpers = [name for name in (COPIES, HAS_DATE_TEXT) if name in staged.columns]
-    return staged.select(*typed, *helpers)
+    """Staged rows with typed columns; ``NO_CELL`` + name says that the cell was null as it came."""
+    typed, helpers = [], [name for name in (COPIES, HAS_DATE_TEXT) if name in staged.columns]
+    for name in (name for name in staged.columns if name in names):
+        cell = col(name)
+        if PARSED + name in staged.columns:
+            cell = col(PARSED + name)
+        elif TRIMMED + name in staged.columns:
+            cell = F.coalesce(col(TRIMMED + name), cell)
+            cell = F.when(cell != "", cell)
+        typed += [cell.alias(name), col(name).isNull().alias(NO_CELL + name)]
+        if SPELLING + name in staged.columns:
+            helpers.append(SPELLING + name)
+    return staged.select(*typed, *map(col, helpers))
+
+
+def _spelling(cell: Column, number: Column) -> Column:
+    """How a text cell spells its number, in one small whole number; null for a missing cell.
+
+    Its digits after the point, or -1 for spellings such as 007, +7, 7., 7e0 or -0, plus one and times 4; plus 2 for a plain
+    number, one without currency marks; plus 1 for a last digit of 0 after the point.
+    """
+    plain = number.isNotNull() & ~marked(cell)
+    fraction = F.when(F.contains(cell, F.lit(".")), F.length(F.substring_index(cell, ".", -1))).otherwise(0)
+    digits = F.when(cell.rlike(REGULAR_NUMBER), fraction).otherwise(-1)
+    zeros = (digits > 0) & cell.endswith("0")
+    return F.when(cell.isNotNull(), (digits + 1) * 4 + plain.cast("int") * 2 + zeros.cast("int"))
 
 
 def _kept(names: list[str]) -> Column:
@@ -269,18 +292,15 @@ def _raw_counters(renamed: DataFrame) -> list[Column]:
     copies = F.col(COPIES)
     counters = [F.coalesce(F.sum(copies), F.lit(0)).alias("rows")]
     for place, name in enumerate(renamed.columns):
-        nulls = F.sum(F.when(col(RAW + name).isNull(), copies))
+        nulls = F.sum(F.when(col(NO_CELL + name), copies))
         counters.append(F.coalesce(nulls, F.lit(0)).alias(f"nulls {place}"))
     for name in _text_numbers(renamed):
-        cell = col(RAW + name)
-        plain = col(name).isNotNull() & (F.translate(cell, CURRENCY_MARKS, "") == cell)
-        # Digits after the point; -1 for spellings such as 007, +7, 7., 7e0 or -0.
-        fraction = F.when(F.contains(cell, F.lit(".")), F.length(F.substring_index(cell, ".", -1))).otherwise(0)
-        digits = F.when(cell.rlike(REGULAR_NUMBER), fraction).otherwise(F.when(cell.isNotNull(), -1))
-        counters.append(F.every(cell.isNull() | plain).alias(f"plain {name}"))
+        spelling = col(SPELLING + name)
+        digits = F.floor(spelling / 4) - 1
+        counters.append(F.coalesce(F.every(spelling.bitwiseAND(2) > 0), F.every(spelling.isNull())).alias(f"plain {name}"))
         counters.append(F.min(digits).alias(f"fewest digits {name}"))
         counters.append(F.max(digits).alias(f"most digits {name}"))
-        counters.append(F.some((digits > 0) & cell.endswith("0")).alias(f"trailing zeros {name}"))
+        counters.append(F.some(spelling.bitwiseAND(1) > 0).alias(f"trailing zeros {name}"))
     return counters
 
 

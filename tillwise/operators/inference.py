@@ -14,7 +14,7 @@ from pyspark.sql.types import BooleanType, DataType, DateType, IntegralType, Num
 from tillwise.fixed_values import BOOLEAN_TEXTS, DATE_FORMATS, DATE_RIVALS, NUMBER_PATTERN, WHOLE_PATTERN
 from tillwise.functions.periods import parse_date
 from tillwise.functions.text import col, strip
-from tillwise.sources.staging import stage
+from tillwise.sources.staging import compiled_methods, stage
 
 # Kinds of cells, as bits of a set: the type of a column follows from the set of its kinds, in whatever order they were met.
 BOOL, INT, FLOAT, DATE, TEXT = 1, 2, 4, 8, 16
@@ -73,7 +73,8 @@ def infer_types(frame: DataFrame, formats: Sequence[str] = DATE_FORMATS) -> list
             F.count_if(F.col(f"kind{place}").isNull()).alias(f"missing {place}"),
             F.coalesce(F.max(f"width{place}"), F.lit(0)).alias(f"widest {place}"),
         ]
-    row = rows.agg(*facts).first()
+    with compiled_methods(frame.sparkSession):
+        row = rows.agg(*facts).first()
     found = []
     for place, name in enumerate(frame.columns):
         kinds, *counts = (row[f"{fact} {place}"] for fact in ("kinds", "cells", "missing", "widest"))
@@ -96,7 +97,9 @@ def by_inferred_value(frame: DataFrame, types: Sequence[ColumnType], keep: Seque
     spelled = {}
     for known in types:
         if known.type in casts and known.column not in keep and isinstance(frame.schema[known.column].dataType, StringType):
-            spelled[known.column] = strip(col(known.column)).try_cast(casts[known.type]).cast("string")
+            value = strip(col(known.column)).try_cast(casts[known.type])
+            # -0.0 and 0.0 are one value; adding 0.0 leaves only the latter.
+            spelled[known.column] = (value + 0.0 if known.type == "float" else value).cast("string")
     return frame.select(*[spelled.get(name, col(name)).alias(name) for name in frame.columns])
 
 
