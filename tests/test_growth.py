@@ -83,3 +83,5 @@ def test_parts_grow_with_the_tables(spark, sales, tmp_path, monkeypatch):
     monkeypatch.setattr(staging, "PART", 100)
     assert staging.in_parts(read, "Order_ID").rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
     assert sorted(star.star_measures(star.fact_sales(read), ["Product_ID"]).collect()) == sorted(before)
+    made = spark.createDataFrame(sales.rdd, sales.schema)  # of no known size
+    assert star.star_measures(star.fact_sales(made)).collect() == star.star_measures(star.fact_sales(read)).collect()

@@ -53,6 +53,7 @@ class StageArea:
 
 
 PART = 8 << 20  # bytes of the tables read that a part stands for
+UNKNOWN_SIZE = 1 << 60  # bytes: rows that come from no file are planned with a size beyond any table
 
 
 def in_parts(frame: DataFrame, *keys: str) -> DataFrame:
@@ -62,8 +63,8 @@ def in_parts(frame: DataFrame, *keys: str) -> DataFrame:
     """
     spark = frame.sparkSession
     leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(place).stats().sizeInBytes())) for place in range(leaves.size()))
-    parts = -(-size // PART)
+    sizes = [int(str(leaves.apply(place).stats().sizeInBytes())) for place in range(leaves.size())]
+    parts = -(-sum(size for size in sizes if size < UNKNOWN_SIZE) // PART)
     return frame.repartition(parts, *[F.col(key) for key in keys]) if parts > spark.sparkContext.defaultParallelism else frame
 
 
